@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import syntax
+from codeloom.llm import mixing, packing, splitting, syntax
 from codeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,45 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_rates(table(spark, d, "file_info"), table(spark, d, "parse_results"))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_chunks(table(spark, d, "code_chunks"), table(spark, d, "size_limits")).select("id").distinct()
+
+
+@query
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_chunks(table(spark, d, "code_chunks"), table(spark, d, "size_limits"))
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    packed = packing.pack(table(spark, d, "documents"), packing.capacity_of(table(spark, d, "size_limits")))
+    return packed.where("pieces > 1").select("doc_id").distinct()
+
+
+@query
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), packing.capacity_of(table(spark, d, "size_limits")))
+
+
+@query
+def p8_filling(spark: SparkSession, d: str) -> DataFrame:
+    capacity = packing.capacity_of(table(spark, d, "size_limits"))
+    return packing.filling(packing.pack(table(spark, d, "documents"), capacity), capacity)
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.plan_table(table(spark, d, "documents"), table(spark, d, "mix_targets")).where("short").select("mix_name", "source")
+
+
+@query
+def p9_draw(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
