@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import mixing, packing, splitting, syntax
+from codeloom.llm import mixing, packing, secrets, splitting, syntax
 from codeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,13 @@ def p9_draw(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.credentials(table(spark, d, "code_chunks"))
+
+
+@query
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redacted(table(spark, d, "code_chunks"))
