@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import mixing, packing, secrets, splitting, syntax
+from codeloom.llm import docpairs, mixing, packing, secrets, splitting, syntax
 from codeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redacted(table(spark, d, "code_chunks"))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.names(table(spark, d, "code_chunks"))
+
+
+@query
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented(table(spark, d, "code_chunks")).distinct()
