@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import docpairs, mixing, packing, secrets, splitting, syntax
+from codeloom.llm import answers, docpairs, mixing, packing, secrets, splitting, syntax
 from codeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.documented(table(spark, d, "code_chunks")).distinct()
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.defects(table(spark, d, "llm_cache"))
+
+
+@query
+def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return answers.defects(table(spark, d, "llm_cache")).groupBy("defect").count()
