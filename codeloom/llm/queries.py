@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import answers, docpairs, mixing, packing, secrets, splitting, syntax
+from codeloom.llm import answers, docpairs, mixing, origins, packing, secrets, splitting, syntax
 from codeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
     return answers.defects(table(spark, d, "llm_cache")).groupBy("defect").count()
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return origins.classified(table(spark, d, "file_info"), table(spark, d, "parse_results")).select("file_id")
+
+
+@query
+def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return origins.classified(table(spark, d, "file_info"), table(spark, d, "parse_results")).groupBy("kind").count()
