@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Makes this package importable for Python workers, wherever they run; once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_codeloom_shipped", False):
+        return spark
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="codeloom-")) / "codeloom.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path("codeloom") / p.relative_to(root))
+    sc.addPyFile(str(at))  # served by the driver
+    atexit.register(shutil.rmtree, at.parent, True)
+    sc._codeloom_shipped = True
+    return spark
