@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import answers, docpairs, mixing, origins, packing, secrets, splitting, syntax
+from codeloom.llm import answers, docpairs, mixing, origins, packing, reading, secrets, splitting, syntax
 from codeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +110,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
     return origins.classified(table(spark, d, "file_info"), table(spark, d, "parse_results")).groupBy("kind").count()
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).where(F.col("level") == reading.EXPERT).select("doc_id")
+
+
+@query
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+@query
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return reading.profile(reading.levels(docs, table(spark, d, "reading_labels")), docs)
