@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import answers, docpairs, mixing, origins, packing, reading, secrets, splitting, syntax
+from codeloom.llm import answers, docpairs, mixing, neighbours, origins, packing, reading, secrets, splitting, syntax
 from codeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,27 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return reading.profile(reading.levels(docs, table(spark, d, "reading_labels")), docs)
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.pairs(table(spark, d, "llm_cache"))
+
+
+@query
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """All at a cosine of 0.9 or above, with their prompts."""
+    t = table(spark, d, "llm_cache")
+    prompts = t.select("id", "prompt").dropDuplicates(["id"])
+    n = neighbours.neighbours(t).withColumn("cosine", F.round("cosine", 6))
+    return n.join(prompts, "id").join(prompts.toDF("other", "other_prompt"), "other")
+
+
+@query
+def p4_search(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar of every hundredth entry by the hash of its id, among all entries, at any cosine."""
+    t = table(spark, d, "llm_cache")
+    asked = t.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0).select("id").distinct()
+    prompts = t.select("id", "prompt").dropDuplicates(["id"])
+    n = neighbours.search(t, asked).withColumn("cosine", F.round("cosine", 6))
+    return n.join(prompts, "id").join(prompts.toDF("other", "other_prompt"), "other")

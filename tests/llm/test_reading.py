@@ -9,7 +9,7 @@ HARD = "notwithstanding asymptotic canonicalization presupposes referential tran
 
 
 def text(rng: random.Random, share: float) -> str:
-    return " ".join(" ".join(rng.sample(HARD if rng.random() < share else EASY, 6)).capitalize() + "." for _ in range(12))
+    return " ".join(" ".join(rng.sample(HARD if rng.random() < share else EASY, 6)).capitalize() + "." for _ in range(40))
 
 
 def test_prose_only():
