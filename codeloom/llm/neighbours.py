@@ -1,9 +1,10 @@
 """Most similar vectors, by additive quantisation.
 
 A vector of length one is written as a sum of one word from each of ``LEVELS`` codebooks of full dimension, found by a
-beam search over the residuals; codes and the norm of the sum are stored. Inner products of sums are sums of entries of
-one table of the inner products of all words, so vectors are scored by looking up codes; what scores near enough is
-reranked by the vectors themselves.
+beam search over the residuals up to level ``COARSE`` and a greedy one behind it; codes and the norms of the sums are stored.
+Inner products of coarse sums are sums of entries of one table of the inner products of all words, so vectors are scored
+by looking up codes; what scores near enough is scored by the full sums, and what still does is reranked by the vectors
+themselves.
 
 ``neighbours`` joins all vectors with all: the first words of the best few beams name the cells a vector lies in, with
 cells in proportion to the vectors, and codes are compared within cells only. Cells over ``BLOCK`` entries are compared
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from codeloom.session import ship, written
 
-SAMPLE, LEVELS, BEAM, PROBES = 8192, 6, 4, 6
+SAMPLE, COARSE, LEVELS, BEAM, PROBES = 8192, 6, 14, 4, 6
 BLOCK, RERANK, QUERY_BLOCK = 2048, 300, 512
-MARGIN = 0.35
+MARGIN, FINE_MARGIN = 0.35, 0.18
 HOT_ROWS = 100_000
 
 
@@ -40,13 +41,22 @@ HOT_ROWS = 100_000
 class Codebooks:
     words: np.ndarray  # levels, size, dimension
     depth: int  # levels whose words name a cell
+    coarse: int  # levels of the beam search and the lookup
 
     @property
     def flat(self) -> np.ndarray:
         return self.words.reshape(-1, self.words.shape[2])
 
     def table(self) -> np.ndarray:
-        return (self.flat @ self.flat.T).astype(np.float32)
+        """Inner products of all words of the coarse levels."""
+        c = self.words[: self.coarse].reshape(-1, self.words.shape[2])
+        return (c @ c.T).astype(np.float32)
+
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(codes), self.words.shape[2]), dtype=np.float32)
+        for m in range(codes.shape[1]):
+            out += self.words[m][codes[:, m]]
+        return out
 
 
 def shape_for(n: int) -> tuple[int, int]:
@@ -69,32 +79,39 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c
 
 
-def fit(sample: np.ndarray, size: int, depth: int, levels: int = LEVELS, seed: int = 0) -> Codebooks:
-    """Residual codebooks, those behind the cells then refitted together by least squares to the codes of a beam search."""
+def fit(sample: np.ndarray, size: int, depth: int, coarse: int = COARSE, levels: int = LEVELS, seed: int = 0) -> Codebooks:
+    """Residual codebooks; the coarse ones behind the cells are refitted together by least squares to the codes of a beam search."""
     rng = np.random.default_rng(seed)
-    levels = max(levels, depth + 2)
+    coarse = max(coarse, depth + 2)
     r, words = sample.astype(np.float32), []
-    for _ in range(levels):
+    for _ in range(coarse):
         c = kmeans(r, size, rng)
         r = r - c[np.argmax(r @ c.T - 0.5 * (c * c).sum(1), 1)]
         words.append(c)
-    books = Codebooks(np.stack(words), depth)
+    books = Codebooks(np.stack(words), depth, coarse)
     if len(sample) >= 4 * size:
         codes, _, _ = encode(sample, books)
-        base = sum(books.words[m][codes[:, m]] for m in range(depth))
-        rest = levels - depth
+        rest = coarse - depth
         a = np.zeros((len(sample), rest * size), dtype=np.float32)
         for m in range(rest):
             a[np.arange(len(sample)), m * size + codes[:, depth + m]] = 1
-        solved = np.linalg.solve(a.T @ a + np.eye(rest * size, dtype=np.float32) * 0.5, a.T @ (sample - base) + 0.5 * books.words[depth:].reshape(-1, sample.shape[1]))
+        left = sample - books.sums(codes[:, :depth])
+        solved = np.linalg.solve(a.T @ a + np.eye(rest * size, dtype=np.float32) * 0.5, a.T @ left + 0.5 * books.words[depth:].reshape(-1, sample.shape[1]))
         books.words[depth:] = solved.reshape(rest, size, -1)
-    return books
+    codes, _, _ = encode(sample, books)
+    r = (sample - books.sums(codes)).astype(np.float32)
+    for _ in range(levels - coarse):
+        c = kmeans(r, size, rng, 5)
+        r = r - c[np.argmax(r @ c.T - 0.5 * (c * c).sum(1), 1)]
+        words.append(c)
+    return Codebooks(np.concatenate([books.words, np.stack(words[coarse:])]) if levels > coarse else books.words, depth, coarse)
 
 
 def encode(x: np.ndarray, books: Codebooks, beam: int = BEAM, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (row, level), norms of the sums, and cells (row, probe) of unit vectors; cells repeat where a beam is short."""
+    """Codes (row, level), norms of the coarse sums, and cells (row, probe) of unit vectors; cells repeat where a beam is short."""
     levels, size, _ = books.words.shape
-    flat = books.flat
+    coarse = books.coarse
+    flat = books.words[:coarse].reshape(-1, books.words.shape[2])
     gram = flat @ flat.T
     own = np.diag(gram)
     codes_out, norms, cells = [], [], []
@@ -104,7 +121,7 @@ def encode(x: np.ndarray, books: Codebooks, beam: int = BEAM, probes: int = PROB
         at = -2 * (b @ flat.T) + own
         score = np.zeros((n, 1), dtype=np.float32)
         codes = np.zeros((n, 1, 0), dtype=np.int64)
-        for m in range(levels):
+        for m in range(coarse):
             grown = score[:, :, None] + at[:, None, m * size : (m + 1) * size]
             for l in range(m):
                 grown += 2 * gram[:, m * size : (m + 1) * size][codes[:, :, l] + l * size]
@@ -121,8 +138,16 @@ def encode(x: np.ndarray, books: Codebooks, beam: int = BEAM, probes: int = PROB
                     cell = cell * size + codes[:, :, l]
                 cells.append(np.pad(cell[:, :probes], ((0, 0), (0, max(0, probes - cell.shape[1]))), mode="edge"))
                 score, codes = score[:, :beam], codes[:, :beam]
-        codes_out.append(codes[:, 0])
-        norms.append(np.sqrt(np.maximum(1e-12, score[:, 0] + 2 * np.einsum("nd,nd->n", b, flat[codes[:, 0] + np.arange(levels) * size].sum(1)))))
+        best = [codes[:, 0, m] for m in range(coarse)]
+        total = books.sums(codes[:, 0])
+        norms.append(np.maximum(1e-6, np.linalg.norm(total, axis=1)))
+        left = b - total
+        for m in range(coarse, levels):
+            w = books.words[m]
+            c = np.argmax(left @ w.T - 0.5 * (w * w).sum(1), 1)
+            left = left - w[c]
+            best.append(c)
+        codes_out.append(np.stack(best, 1))
     if not codes_out:
         return np.zeros((0, levels), dtype=np.int64), np.zeros(0), np.zeros((0, probes), dtype=np.int64)
     return np.concatenate(codes_out), np.concatenate(norms), np.concatenate(cells)
@@ -131,10 +156,10 @@ def encode(x: np.ndarray, books: Codebooks, beam: int = BEAM, probes: int = PROB
 def lookup(table: np.ndarray, size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of the sums with codes ``a`` and ``b``, row by row, from the table of those of the words."""
     out = np.zeros(len(a), dtype=np.float32)
-    levels = a.shape[1]
-    for m in range(levels):
+    coarse = table.shape[1] // size
+    for m in range(coarse):
         left = (a[:, m] + m * size) * table.shape[1]
-        for l in range(levels):
+        for l in range(coarse):
             out += table.ravel()[left + b[:, l] + l * size]
     return out
 
@@ -229,9 +254,15 @@ def candidates(entries: DataFrame, model, least: float) -> DataFrame:
             codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), dtype=np.uint8).reshape(-1, levels).astype(np.int64)
             runs = np.cumsum(np.concatenate([[0], (np.diff(cell) != 0) | (np.diff(part) != 0)]))
             got = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            full = books.sums(codes)
+            full /= np.maximum(1e-6, np.linalg.norm(full, axis=1, keepdims=True))
             for i, j in _pairs_of_runs(runs, side if (side != 2).any() else None):
                 near = lookup(table, size, codes[i], codes[j]) >= (least - MARGIN) * norm[i] * norm[j]
-                got.append((number[i[near]], number[j[near]]))
+                i, j = i[near], j[near]
+                for lo in range(0, len(i), 100_000):
+                    x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
+                    near = np.einsum("nd,nd->n", full[x], full[y]) >= least - FINE_MARGIN
+                    got.append((number[x[near]], number[y[near]]))
             a, b = (np.concatenate(x) for x in zip(*got))
             u = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], names=["one", "other"])
@@ -343,8 +374,9 @@ def _scan(block, model, rerank: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            codes = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(-1, levels).astype(np.int64) + np.arange(levels) * size
-            norm, number = np.asarray(b.column(2)), np.asarray(b.column(0))
+            codes = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(-1, levels).astype(np.int64)
+            norm, number = np.maximum(1e-6, np.linalg.norm(model.value.sums(codes), axis=1)), np.asarray(b.column(0))
+            codes += np.arange(levels) * size
             one, other, score = [], [], []
             for i in range(len(q)):
                 s = tables[i][codes].sum(1) / norm

@@ -30,9 +30,11 @@ def brute(ids: list[str], x: np.ndarray, k: int, least: float) -> dict[str, list
 def test_codes_and_lookup():
     _, x = data(600)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    books = neighbours.fit(x, 64, 1, 4)
+    books = neighbours.fit(x, 64, 1, 4, 7)
     codes, norms, cells = neighbours.encode(x, books, probes=3)
-    sums = sum(books.words[m][codes[:, m]] for m in range(4))
+    assert codes.shape == (len(x), 7)
+    sums = books.sums(codes[:, :4])
+    assert ((x - books.sums(codes)) ** 2).sum() < ((x - sums) ** 2).sum()
     assert np.allclose(norms, np.linalg.norm(sums, axis=1), atol=1e-3)
     greedy = ((x - books.words[0][np.argmin(((x[:, None] - books.words[0]) ** 2).sum(2), 1)]) ** 2).sum(1)
     assert ((x - sums) ** 2).sum(1).mean() < 0.6 * greedy.mean() and cells.shape == (len(x), 3)
