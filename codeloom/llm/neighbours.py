@@ -183,7 +183,9 @@ def prepared(items: DataFrame, key: str, vector: str, dimension: int) -> tuple[D
 
 
 def fitted(classes: DataFrame, dimension: int, n: int) -> Codebooks | None:
-    rows = classes.orderBy(F.xxhash64(F.lit(2), "a"), "number").limit(SAMPLE).select("vector").toPandas()
+    draw = F.pmod(F.xxhash64(F.lit(2), "a"), F.lit(1 << 30))
+    share = min(1.0, 1.3 * SAMPLE / max(1, n))  # so that tasks send few more rows than are wanted
+    rows = classes.where(draw < int(share * (1 << 30))).orderBy(draw, "number").limit(SAMPLE).select("vector").toPandas()
     if not len(rows):
         return None
     x = np.stack(rows.vector.to_numpy()).astype(np.float64)
