@@ -81,7 +81,7 @@ def snippet(markdown: Column, limit: int = 200) -> Column:
 
 def title(markdown: Column, path: Column) -> Column:
     """First ``# `` heading or line in bold, else the stem of the path in title case (O-17, O-18)."""
-    lines = F.transform(F.split(markdown, "\n"), F.trim)
+    lines = F.transform(F.split(markdown, "\n"), lambda x: F.trim(x))
     found = F.filter(lines, lambda x: x.startswith("# ") | x.rlike(r"^\*\*.+\*\*$"))
     text = F.trim(F.regexp_replace(F.get(found, F.lit(0)), r"^# |^\*\*|\*\*$", ""))
     stem = F.regexp_replace(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", ""), r"[_\-]", " ")
@@ -181,7 +181,7 @@ def sub_questions(text: Column) -> Column:
 def code_blocks(markdown: Column, tag: str | None = None) -> Column:
     """Trimmed bodies of fenced blocks, of one tag if given (O-155, O-159)."""
     head = tag or r"[^\n`]*"
-    return F.transform(F.regexp_extract_all(markdown, F.lit(rf"(?s)```{head}[ \t]*\n(.*?)```"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(markdown, F.lit(rf"(?s)```{head}[ \t]*\n(.*?)```"), F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
 
 
 def segments(markdown: Column) -> Column:

@@ -51,15 +51,16 @@ def module_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     return m.join(f, "last").where(ok).groupBy("module").agg(F.min("path").alias("path"))
 
 
-def shared(imports: DataFrame, item: str, module: str, least: int = 2, hub: int = 1000) -> DataFrame:
+def shared(imports: DataFrame, item: str, module: str, least: int = 2) -> DataFrame:
     """(a, b, shared): pairs of items with at least ``least`` modules in common (O-75, O-123).
 
-    A module of more than ``hub`` items pairs too many; its items are first reduced to those that share another, rarer
-    module or hub with someone, so that pairs over hubs are only formed where a second module can make them count.
+    Items with fewer modules and modules of one item only are left out first. What is paired is what shares a module, so
+    callers put the repository into the module's key, as relations hold within one; skewed modules are split by AQE.
     """
     x = imports.select(F.col(item).alias("item"), F.col(module).alias("module")).where("item is not null and module is not null").distinct()
     n = x.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    x = x.join(n.select("item"), "item", "left_semi")
+    common = x.groupBy("module").agg(F.count("*").alias("n")).where("n > 1")
+    x = x.join(n.select("item"), "item", "left_semi").join(common.select("module"), "module", "left_semi")
     pairs = x.alias("a").join(x.alias("b"), (F.col("a.module") == F.col("b.module")) & (F.col("a.item") < F.col("b.item")))
     return pairs.groupBy(F.col("a.item").alias("a"), F.col("b.item").alias("b")).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from codeloom.functions import text
 from codeloom.schemas import CHUNK_TYPES, LANGUAGES, SCHEMA_VERSION, checked
@@ -31,10 +32,16 @@ class ChunkStore:
 
     def create(self, chunks: DataFrame) -> None:
         """Replaces the table, also by an empty one (O-20). Rows are sorted by path, so files of one path share row groups (O-27)."""
-        self._bucketed(deduplicated(chunks)).write.mode("overwrite").partitionBy("file_bucket").parquet(self.path)
+        b = self._bucketed(deduplicated(chunks))
+        b.drop("file_bucket").limit(0).write.mode("overwrite").parquet(f"{self.path}.schema")
+        b.write.mode("overwrite").partitionBy("file_bucket").parquet(self.path)
+
+    def _table(self, path: str) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.path}.schema").schema
+        return self.spark.read.schema(schema.add("file_bucket", IntegerType())).parquet(path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self._table(self.path)
 
     def append(self, chunks: DataFrame) -> None:
         """Adds chunks whose id is not there yet (O-21)."""
@@ -47,8 +54,8 @@ class ChunkStore:
         rows = old if add is None else old.unionByName(add.select(old.columns))
         staged = f"{self.path}.staged"
         self._bucketed(rows).write.mode("overwrite").partitionBy("file_bucket").parquet(staged)
-        empty = set(buckets) - {r[0] for r in self.spark.read.parquet(staged).select("file_bucket").distinct().collect()}
-        self.spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_bucket").parquet(self.path)
+        empty = set(buckets) - {r[0] for r in self._table(staged).select("file_bucket").distinct().collect()}
+        self._table(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_bucket").parquet(self.path)
         fs = self.spark._jvm.org.apache.hadoop.fs
         for b in [f"{self.path}/file_bucket={x}" for x in empty] + [staged]:
             p = fs.Path(b)

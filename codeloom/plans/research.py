@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -39,7 +40,7 @@ class HashEmbedder:
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dimension))
         for row, t in zip(out, texts):
-            for w in t.lower().split():
+            for w in re.findall(r"[^\W_]+", t.lower()):
                 h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
                 row[h % self.dimension] += 1 if h >> 63 else -1
         n = np.linalg.norm(out, axis=1, keepdims=True)

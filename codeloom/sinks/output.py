@@ -145,7 +145,7 @@ def linked(content: str, names: dict[str, str], own: Iterable[str] = (), page: s
     if not todo:
         return content
     mention = re.compile(r"`(" + "|".join(map(re.escape, todo)) + r")`|\*\*(" + "|".join(map(re.escape, todo)) + r")\*\*|(?<![\w`./\[])(" + "|".join(map(re.escape, todo)) + r")(?![\w`\]/(])")
-    keep = re.compile(r"(?s)```.*?```|~~~.*?~~~|(?m:^#+.*$)|!?\[[^\]]*\]\([^)]*\)|`[^`\n]*`")
+    keep = re.compile(r"(?s)```.*?```|~~~.*?~~~|(?m:^#+[^\n]*$)|!?\[[^\]]*\]\([^)]*\)|`[^`\n]*`")
 
     def link(m: re.Match) -> str:
         name = m[1] or m[2] or m[3]

@@ -18,19 +18,25 @@ def source(spark: SparkSession, directory: str, schema: str = EVENT, fmt: str =
     return (r.option("maxFilesPerTrigger", per_trigger) if per_trigger else r).load(directory)
 
 
+def marked(events: DataFrame, at: str, late: str | None) -> DataFrame:
+    """With a watermark if it is a stream and ``late`` is given; a stream that already has one keeps it."""
+    return events.withWatermark(at, late) if events.isStreaming and late else events
+
+
 def touched(events: DataFrame) -> DataFrame:
     """(path, at) of events; a move touches both of its ends (O-175)."""
     both = F.filter(F.array("path", F.when(F.col("kind") == "moved", F.col("target"))), lambda p: p.isNotNull() & ~p.endswith("/"))
     return events.select(F.explode(both).alias("path"), "at")
 
 
-def debounced(paths: DataFrame, quiet: str = "2 seconds", late: str = "10 seconds", *keys: str) -> DataFrame:
+def debounced(paths: DataFrame, quiet: str = "2 seconds", late: str | None = "10 seconds", *keys: str) -> DataFrame:
     """Bursts of paths, each ended by a time without events (O-176): start, end, paths, events. ``keys``: what is watched apart, as a repository, which also spreads the state.
 
     On a stream a burst comes out when the watermark passes its end; the paths of one burst are what its state holds.
     """
-    p = paths.withWatermark("at", late) if paths.isStreaming else paths
-    g = p.groupBy(*keys, F.session_window("at", quiet).alias("w")).agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count("*").alias("events"))
+    p = marked(paths, "at", late)
+    by = keys or [F.substring("path", 1, 0).alias("_all")]  # a stream wants a key
+    g = p.groupBy(*by, F.session_window("at", quiet).alias("w")).agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count("*").alias("events"))
     return g.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "paths", "events")
 
 
@@ -40,13 +46,13 @@ def refreshing(bursts: DataFrame, refresh: Callable[[DataFrame, int], None], che
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="2 seconds")).start()
 
 
-def tumbling(events: DataFrame, at: str, size: str, late: str = "1 hour", *keys: str) -> DataFrame:
-    e = events.withWatermark(at, late) if events.isStreaming else events
+def tumbling(events: DataFrame, at: str, size: str, late: str | None = "1 hour", *keys: str) -> DataFrame:
+    e = marked(events, at, late)
     return e.groupBy(F.window(at, size).alias("w"), *keys).agg(F.count("*").alias("events")).select(F.col("w.start").alias("start"), *keys, "events")
 
 
-def sliding(events: DataFrame, at: str, size: str, step: str, late: str = "1 hour", *keys: str) -> DataFrame:
-    e = events.withWatermark(at, late) if events.isStreaming else events
+def sliding(events: DataFrame, at: str, size: str, step: str, late: str | None = "1 hour", *keys: str) -> DataFrame:
+    e = marked(events, at, late)
     return e.groupBy(F.window(at, size, step).alias("w"), *keys).agg(F.count("*").alias("events")).select(F.col("w.start").alias("start"), *keys, "events")
 
 
