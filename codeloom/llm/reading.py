@@ -33,17 +33,37 @@ ROUNDS = 8
 TRUST = 0.3
 BINS = 400
 EXPERT = 4
+GRADES_SENT = 200_000
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _LINE = re.compile(r"(?m)^(?:[ \t]*(?:[-*+•]|\d+[.)])[ \t].*|[ \t]*\|.*|[ \t]*#.*| {4,}.*|\t.*|[ \t]*\[[^\]]*\]\([^)]*\)[ \t]*)$")
-_INLINE = re.compile(r"`[^`\n]*`|\]\([^)\n]*\)|\S*[_/]\S*")
+_INLINE = re.compile(r"`[^`\n]*`|\]\([^)\n]*\)")
 _STOP = re.compile(r"[.!?…]+[\s\"')\]]+|\n[ \t]*\n|[。！？]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
+_BLANKS = {k: " " for k in range(128) if not chr(k).isalpha()}
+
+
+def _addresses_out(prose: str) -> str:
+    """Without words that hold an underscore or a slash."""
+    if "_" not in prose and "/" not in prose:
+        return prose
+    keep = lambda w: "_" not in w and "/" not in w
+    return "\n".join(" ".join(filter(keep, line.split(" "))) if "_" in line or "/" in line else line for line in prose.replace("\t", " ").replace("\r", " ").split("\n"))
+
+
+def _words(sentence: str) -> list[str]:
+    if sentence.isascii():  # the same words, faster
+        return [w for w in sentence.translate(_BLANKS).split() if len(w) > 1]
+    return _WORD.findall(sentence)
+
+
 def sentences(text: str) -> list[list[str]]:
-    """Words of each sentence of the prose, in lower case."""
-    prose = _INLINE.sub(" ", _LINE.sub("", _FENCE.sub(" ", text))).lower()
-    return [ws for s in _STOP.split(prose) if (ws := _WORD.findall(s))]
+    """Words of two letters or more of each sentence of the prose, in lower case."""
+    prose = _LINE.sub("", _FENCE.sub(" ", text))
+    if "`" in prose or "](" in prose:
+        prose = _INLINE.sub(" ", prose)
+    return [ws for s in _STOP.split(_addresses_out(prose).lower()) if (ws := _words(s))]
 
 
 @lru_cache(200_000)
@@ -147,8 +167,12 @@ def levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Dat
     """doc_id, grade (null if not graded), difficulty on the scale of the grades, level (1 to 4) of each document."""
     sc = ship(documents.sparkSession).sparkContext
     docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    e = docs.mapInArrow(_edges, "doc_id bigint, words array<int>, parts array<float>").dropDuplicates(["doc_id"])
-    e = written(e.join(grades(labels), "doc_id", "left").select("doc_id", "words", "parts", F.col("grade").cast("double")), "edges")
+    e = docs.mapInArrow(_edges, "doc_id bigint, words array<int>, parts array<float>")
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        e = e.dropDuplicates(["doc_id"])
+    graded = grades(labels)
+    graded = F.broadcast(graded) if graded.count() <= GRADES_SENT else graded  # a few MB at most; more are joined by a shuffle
+    e = written(e.join(graded, "doc_id", "left").select("doc_id", "words", "parts", F.col("grade").cast("double")), "edges")
     head = e.agg(F.count("*").alias("n"), F.avg("grade").alias("mean")).first()
     out = "doc_id bigint, grade double, difficulty double, level int"
     if head["mean"] is None:
