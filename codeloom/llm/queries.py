@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import answers, docpairs, mixing, neighbours, origins, packing, reading, secrets, splitting, syntax
+from codeloom.llm import answers, credentials, docpairs, mixing, neighbours, origins, packing, reading, splitting, syntax
 from codeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,12 +74,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return secrets.credentials(table(spark, d, "code_chunks"))
+    return credentials.credentials(table(spark, d, "code_chunks"))
 
 
 @query
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return secrets.redacted(table(spark, d, "code_chunks"))
+    return credentials.redacted(table(spark, d, "code_chunks"))
 
 
 @query

@@ -2,7 +2,7 @@ import base64
 
 import pytest
 
-from codeloom.llm import secrets
+from codeloom.llm import credentials
 
 BASIC = base64.b64encode(b"user:k3Tq9w").decode()
 JWT = "eyJhbGciOiJIUzI1NiJ9.UmZoVTlLbG9SZ0Jwb0xnMkwz.OGJzeExseU13eEsz"
@@ -35,33 +35,33 @@ NO = [
 @pytest.mark.parametrize("line", YES)
 def test_credentials(line):
     text = "a = 1\n" + line + "\nb = f(2)\n"
-    found = secrets.find(text)
+    found = credentials.find(text)
     assert len(found) == 1 and text.count("\n", 0, found[0][0]) == 1
-    m = secrets.masked(text, found)
+    m = credentials.masked(text, found)
     assert len(m) == len(text) and m.startswith("a = 1\n") and m.endswith("\nb = f(2)\n") and m.count("\n") == text.count("\n") and m.count('"') == text.count('"')
-    assert "*" in m and not secrets.find(m)
+    assert "*" in m and not credentials.find(m)
 
 
 @pytest.mark.parametrize("line", NO)
 def test_others(line):
-    assert not secrets.find("a = 1\n" + line + "\n")
+    assert not credentials.find("a = 1\n" + line + "\n")
 
 
 def test_settings():
     text = 'a:\n  password: Gn9SNh=67KQ2aB\n  secret_name: 5f2e741a5940ad69deb97d5ec645321397a0401a\nAPI_KEY=rk_Qxf0hCaDF6kLQupxmyne8RIXFxvl\n"token": "ghp_oc5dmomNJufEQ7KSByJJfI11W6svGQyKvZAY",\n'
-    assert [text.count("\n", 0, a) for a, _ in secrets.find(text, True)] == [1, 3, 4]
-    assert [text.count("\n", 0, a) for a, _ in secrets.find(text, False)] == [4]
+    assert [text.count("\n", 0, a) for a, _ in credentials.find(text, True)] == [1, 3, 4]
+    assert [text.count("\n", 0, a) for a, _ in credentials.find(text, False)] == [4]
 
 
 def test_segmentation():
-    words, bits, _ = secrets.segment("example-password")
+    words, bits, _ = credentials.segment("example-password")
     assert words == ("example", "password") and bits == 0
-    assert secrets.segment("")[1] == 0 and secrets.segment("zQ9xK2")[1] > 20
+    assert credentials.segment("")[1] == 0 and credentials.segment("zQ9xK2")[1] > 20
 
 
 def test_operator(spark):
     rows = [("1", "a.py", 'password = "Cell!609frozen"\n'), ("1", "a.py", 'password = "Cell!609frozen"\n'), ("2", "b.env", "PWD=Cell!609frozen\n"), ("3", None, "x" * 100_000), ("4", "c.py", None), (None, "d.py", 'password = "Cell!609frozen"'), ("5", "e.py", "")]
     chunks = spark.createDataFrame(rows, "id string, file_path string, content string").selectExpr("*", "1 AS line", "true AS settings")
-    assert sorted(map(tuple, secrets.credentials(chunks).collect())) == [("1", 1), ("2", 1)]
-    assert sorted(map(tuple, secrets.redacted(chunks).collect())) == [("1", 'password = "**************"\n', 1), ("2", "PWD=**************\n", 1)]
-    assert secrets.credentials(chunks.limit(0)).count() == 0
+    assert sorted(map(tuple, credentials.credentials(chunks).collect())) == [("1", 1), ("2", 1)]
+    assert sorted(map(tuple, credentials.redacted(chunks).collect())) == [("1", 'password = "**************"\n', 1), ("2", "PWD=**************\n", 1)]
+    assert credentials.credentials(chunks.limit(0)).count() == 0
