@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from codeloom.llm import tokens
 from codeloom.llm.common import rows_out
 
-STRONG_BITS, WEAK_BITS = 6.0, 90.0
+STRONG_BITS, HOOK_BITS, WEAK_BITS = 6.0, 50.0, 90.0
 SECRET_WORDS = {"password", "passwd", "pwd", "pass", "passphrase", "passcode", "secret", "token", "credential", "credentials", "auth", "apikey", "dbpass", "passwort", "contraseña"}
 KEY_OF = {"api", "access", "secret", "private", "signing", "encryption", "master", "session", "auth", "account", "service"}
 NOT_WORDS = {"label", "field", "name", "names", "hint", "title", "type", "format", "length", "len", "count", "policy", "path", "file", "page", "param", "header_name", "placeholder", "regex", "pattern", "column", "prefix", "suffix"}
 OTHER_WORDS = {"checksum", "digest", "etag", "commit", "sha", "sha1", "sha256", "md5", "hash", "build", "revision", "uuid", "guid", "trace", "icon", "image", "integrity", "fingerprint", "public", "thumbnail", "font", "etags", "version"}
 CALLS = {"connect", "login", "authenticate", "authorize", "auth", "signin", "password", "credentials", "token"}
-PLACEHOLDERS = {"example", "changeme", "change", "dummy", "placeholder", "your", "replace", "fake", "sample", "redacted", "insert", "todo", "none", "null", "undefined", "test"}
+PLACEHOLDERS = {"example", "changeme", "dummy", "placeholder", "your", "replace", "fake", "redacted", "insert", "todo", "none", "null", "undefined"}
 
 _LIT = r'"""(?s:(?:[^\\]|\\.)*?)"""|\'\'\'(?s:(?:[^\\]|\\.)*?)\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`'
 TOKEN = re.compile(rf"(?P<lit>(?P<concat>concat!\(\s*)?(?:{_LIT})(?(concat)(?:\s*,\s*(?:{_LIT}))*|(?:[ \t]*(?:\+|\.\.|\\\n|\n)?\s*(?:{_LIT}))*))|(?P<com>(?://|\#|/\*|(?<![^\s])\*(?=\s)|(?<![^\s])--(?=\s))[^\n]*)")
@@ -159,7 +159,7 @@ def secret_span(value: str, words: list[str], kind: str, path: str = tokens.DEFA
         if "hook" not in m[0] and "hook" not in words and not strong:
             return None
         tail = re.search(r"[A-Za-z0-9_\-]{20,}(?=/?$)", m[0])
-        if tail and segment(tail[0], path)[1] >= WEAK_BITS and not placeholder(tail[0], path):
+        if tail and segment(tail[0], path)[1] >= HOOK_BITS and not placeholder(tail[0], path):
             return m.start() + tail.start(), m.start() + tail.end()
         return None
     if re.search(r"\s", value) or REFERENCE.search(value) or UUID.fullmatch(value):
