@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.extract import chunks as extract
 from codeloom.functions import paths, text
 from codeloom.operators import cache, changes, context, graphs, history, imports, ranking, reports, search, store, toc
+from codeloom.plans import pages
 from codeloom.sources import trees
 from codeloom.sources.tables import table
 from codeloom.streaming import events as stream
@@ -508,7 +509,10 @@ def mermaid_names(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).where("name is not null").select("name").distinct().select("name", text.mermaid_name(F.col("name")).alias("node"))
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT DISTINCT id, response FROM llm_cache), j AS (SELECT id, nullif(regexp_extract(response, '(?s)\{.*\}', 0), '') AS j FROM t), q AS (SELECT id, json_extract(j, '$.sub_questions[*]') AS q FROM j WHERE j IS NOT NULL AND json_valid(j)), u AS (SELECT id, unnest(range(0, len(q))) AS i, unnest(q) AS q FROM q)
+    SELECT id, CAST(i AS INT) AS "at", q ->> '$.question' AS question, coalesce(q ->> '$.category', 'structure') AS category FROM u WHERE trim(q ->> '$.question') <> ''"""
+)
 def sub_questions(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "llm_cache").select("id", "response").distinct().select("id", F.posexplode(text.sub_questions(F.col("response"))).alias("at", "q"))
     return q.select("id", "at", "q.question", "q.category")
@@ -545,6 +549,35 @@ def entity_index(spark: SparkSession, d: str) -> DataFrame:
     return ranking.entity_index(chunks(spark, d)).withColumn("keywords", F.array_join("keywords", " "))
 
 
+# Pages
+
+
+@query()
+def api_reference(spark: SparkSession, d: str) -> DataFrame:
+    return pages.api_reference(extract.chunk_files(parsed(spark, d).withColumn("file_path", F.concat("repo", F.lit("/"), "file_path"))))
+
+
+@query()
+def file_pages(spark: SparkSession, d: str) -> DataFrame:
+    return pages.file_pages(extract.chunk_files(parsed(spark, d).withColumn("file_path", F.concat("repo", F.lit("/"), "file_path"))))
+
+
+@query()
+def glossary_pages(spark: SparkSession, d: str) -> DataFrame:
+    return pages.glossary_pages(chunks(spark, d))
+
+
+@query()
+def wiki_pages(spark: SparkSession, d: str) -> DataFrame:
+    c = chunks(spark, d).withColumn("file_path", F.concat("repo", F.lit("/"), "file_path"))
+    return pages.assembled([pages.coverage_page(c), pages.changelog_pages(_commits(spark, d)), pages.files_index(files(spark, d)), pages.glossary_pages(c)])
+
+
+@query(f"WITH {CHUNKS}, a AS (SELECT id, list_distinct(list_concat(regexp_extract_all(content, '(?m)^\\s{{4}}([A-Za-z_]\\w*)\\s*:\\s*\\w', 1), regexp_extract_all(content, 'self\\.([A-Za-z_]\\w*)\\s*(?::[^=\\n]+)?=[^=]', 1))) AS n FROM chunks WHERE chunk_type = 'class' AND language = 'python') SELECT id, CAST(least(10, len(list_filter(n, lambda x: NOT starts_with(x, '__')))) AS INT) AS attributes FROM a")
+def class_attributes(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).where("chunk_type = 'class' and language = 'python'").select("id", F.size(text.class_attributes(F.col("content"))).alias("attributes"))
+
+
 # Use of entities
 
 
@@ -603,7 +636,9 @@ def cache_newest(spark: SparkSession, d: str) -> DataFrame:
     return cache.newest_per_hash(_cache(spark, d)).select("exact_hash", "id")
 
 
-@query()
+@query(
+    f"WITH {_CACHE}, q AS (SELECT vector AS v, model_name AS m FROM c WHERE len(vector) = 64 AND model_name IS NOT NULL ORDER BY id LIMIT 1), n AS (SELECT id, model_name, m, 1 - list_sum(list_transform(list_zip(vector, v), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS s, created_at, ttl_seconds FROM c, q WHERE len(vector) = 64), t AS (SELECT * FROM n WHERE NOT isnan(s) ORDER BY s DESC, id LIMIT 5) SELECT id, model_name, round(s, 6) AS similarity FROM t WHERE s >= 0.95 AND model_name = m AND {_VALID} ORDER BY s DESC, id LIMIT 1"
+)
 def cache_similar(spark: SparkSession, d: str) -> DataFrame:
     c = _cache(spark, d)
     first = c.where("size(vector) = 64 and model_name is not null").orderBy("id").select("vector", "model_name").first()

@@ -180,3 +180,39 @@ def test_output(spark, tmp_path):
     assert json.loads((tmp_path / "s.json").read_text())["meta"]["total_pages"] == 2
     linked = output.link_pages(pages, spark.createDataFrame([("text", "t.md")], "name string, path string"))
     assert "[text](t.md)" in linked.where("path = 'a.md'").first().content
+
+
+def test_config(tmp_path):
+    from codeloom import config
+
+    assert config.current() == config.Config() and config.Config().research == (30, 5)
+    (tmp_path / "c.json").write_text('{"preset": "quick", "languages": ["go"], "other": 1}')
+    c = config.load(str(tmp_path / "none.json"), str(tmp_path / "c.json"))
+    assert c.preset == "quick" and c.languages == ("go",) and c.extra == {"other": 1}
+    with config.override(search_limit=3) as o:
+        assert config.current() is o and o.search_limit == 3
+    assert config.current().search_limit == 10
+    config.set_global(c)
+    assert config.current() is c
+    config.set_global(None)
+    for bad in ({"preset": "none"}, {"languages": ["cobol"]}, {"cache_threshold": 2}):
+        with pytest.raises(ValueError):
+            config.from_mapping(bad)
+
+
+def test_pages(spark):
+    from codeloom.plans import pages
+
+    files = spark.createDataFrame([("p/q.py", PY), ("p/e.py", ""), ("p/n.py", None)], "file_path string, source_text string")
+    c = chunks.chunk_files(files)
+    ref = {r.file_path: r.text for r in pages.api_reference(c).collect()}
+    assert set(ref) == {"p/q.py"} and "### `A(B)`" in ref["p/q.py"] and "### `async f(y: list[int])`" in ref["p/q.py"] and "| y | list[int] | None |" in ref["p/q.py"]
+    calls = spark.createDataFrame([("p/q.py", "x.py"), ("p/q.py", "x.py")], "file_path string, caller_file string")
+    made = {r.path: r.content for r in pages.file_pages(c, calls).collect()}
+    assert made["files/p/q.md"].startswith("# q.py\n\nMod doc.") and made["files/p/q.md"].count("- `x.py`") == 1 and "0 definitions" in made["files/p/e.md"]
+    assert {r.path for r in pages.glossary_pages(c).collect()} == {"glossary/A.md", "glossary/F.md", "glossary/I.md"}
+    assert "0 of 3 documented" in pages.coverage_page(c).first().content
+    deps = spark.createDataFrame([("r", "flask", "*", False), ("r", "pytest", "1", True)], "repo string, name string, version string, is_dev boolean")
+    assert pages.dependency_page(deps).first().content == "# Dependencies\n\n- flask * (Web)\n- pytest 1 (Testing, development)\n"
+    a = spark.createDataFrame([("x", "1")], "path string, content string")
+    assert [tuple(r) for r in pages.assembled([a, a.selectExpr("path", "'2' AS content")]).collect()] == [("x", "1")]
