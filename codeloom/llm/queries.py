@@ -20,6 +20,15 @@ def query(fn: Query) -> Query:
     return fn
 
 
+# Over limits in characters, bytes and lines; the limits of the tables name no tokens for splitting.
+ORACLES["p7_found"] = """WITH l AS (SELECT lower(language) AS language, arg_min(unit, limit_id) AS unit, arg_min(max_size, limit_id) AS most FROM size_limits WHERE purpose = 'split' GROUP BY 1)
+SELECT DISTINCT c.id FROM code_chunks c LEFT JOIN l ON lower(c.language) = l.language LEFT JOIN l r ON r.language IS NULL
+WHERE CASE coalesce(l.unit, r.unit) WHEN 'chars' THEN length(c.content) WHEN 'lines' THEN length(c.content) - length(replace(c.content, chr(10), '')) + 1 ELSE strlen(c.content) END > coalesce(l.most, r.most)"""
+ORACLES["p4_found"] = """WITH c AS (SELECT DISTINCT ON (id) id, vector FROM llm_cache WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+u AS (SELECT id, list_transform(vector, lambda x: x::DOUBLE)::DOUBLE[64] AS v FROM c), n AS (SELECT a.id, b.id AS other, array_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.id <> b.id WHERE array_cosine_similarity(a.v, b.v) >= 0.9),
+t AS (SELECT id, other FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, other) <= 5) SELECT DISTINCT least(id, other) AS id_1, greatest(id, other) AS id_2 FROM t"""
+
+
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_files(table(spark, d, "file_info"), table(spark, d, "parse_results")).select("file_id")
