@@ -18,7 +18,7 @@ from pyspark.sql.types import _parse_datatype_string
 from codeloom.extract import python_code as py
 from codeloom.functions.paths import language_of
 from codeloom.schemas import CALLS, CHUNKS, METADATA
-from codeloom.session import ship
+from codeloom.session import ship, spread
 
 SPLIT_LINES = 100
 # Calls that say nothing about the structure of a program.
@@ -251,7 +251,7 @@ def _table(df: DataFrame, schema: str, rows: Callable[[str, str], Iterable]) ->
                     out += [r if isinstance(r, dict) else dict(zip(names, r)) for r in rows(path, source)]
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return df.mapInArrow(run, types)
+    return spread(df).mapInArrow(run, types)
 
 
 def chunk_files(files: DataFrame, path: str = "file_path", source: str = "source_text", split: int = SPLIT_LINES) -> DataFrame:

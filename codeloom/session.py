@@ -60,3 +60,23 @@ def ship(spark: SparkSession) -> SparkSession:
     atexit.register(shutil.rmtree, at.parent, True)
     sc._codeloom_shipped = True
     return spark
+
+
+SMALL_FILE = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files are fewer than these and small, so that one file of one row group is not one task; else as it is.
+
+    For scans that feed Python: a table of any size has more files, or larger ones, and is read where it lies.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    names = df.inputFiles()
+    if not names or len(names) >= cores:
+        return df
+    jvm, conf, size = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for n in names:
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(n))
+        size += p.getFileSystem(conf).getFileStatus(p).getLen()
+    return df.repartition(cores) if size <= cores * SMALL_FILE else df
