@@ -47,7 +47,7 @@ _BLOCKED = r"(?!(?:if|for|while|switch|catch|return|with|else|do|new|throw|await
 _FUNCTION = {
     "javascript": rf"^[ \t]*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*(?P<a>{_NAME})|^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<b>{_NAME})\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|\([^()\n]*\)\s*(?::[^=\n]+)?=>)|^[ \t]+(?:(?:public|private|protected|static|async|get|set)\s+)*{_BLOCKED}(?P<c>{_NAME})\s*\([^(){{}};\n]*\)\s*(?::[^{{}};\n]+)?\{{",
     "go": r"^func\s*(?:\(\s*\w*\s*\*?(?P<r>\w+)[^)]*\)\s*)?(?P<a>\w+)",
-    "java": rf"^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized|override|virtual|async)\s+)*(?:<[^>\n]+>\s*)?{_BLOCKED}[\w.$<>\[\], ?]+\s+{_BLOCKED}(?P<a>{_NAME})\s*\([^;{{}}()]*\)\s*(?:throws\s+[\w., ]+)?\s*\{{",
+    "java": rf"^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized|override|virtual|async)\s+)*(?:<[^>\n]+>\s*)?{_BLOCKED}[\w.$]+(?:<[^;{{}}()\n]*>)?(?:\[\])*\s+{_BLOCKED}(?P<a>{_NAME})\s*\([^;{{}}()]*\)\s*(?:throws\s+[\w., ]+)?\s*\{{",
     "rust": r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(?P<a>\w+)",
     "c": rf"^(?![ \t]*(?:return|else|typedef)\b)[ \t]*(?:[A-Za-z_][\w:<>,*& \t]*?[\s*&])(?:\w+::)*{_BLOCKED}(?P<a>~?\w+)\s*\([^;{{}}()]*\)\s*(?:const\s*)?\{{",
     "ruby": r"^[ \t]*(?:(?:private|protected|public)\s+)?def\s+(?:self\.)?(?P<a>[\w?!=]+)",
