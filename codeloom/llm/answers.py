@@ -206,4 +206,4 @@ def _rows(batch: dict[str, list]) -> Iterable[tuple]:
 
 def defects(pairs: DataFrame) -> DataFrame:
     """(id, defect) of each defective pair, once."""
-    return rows_out(pairs.where(F.col("id").isNotNull()).select("id", "prompt", "response", "system_prompt"), _rows, "id string, defect string").dropDuplicates(["id"])
+    return rows_out(pairs.where(F.col("id").isNotNull()).select("id", "prompt", "response", "system_prompt"), _rows, "id string, defect string", scan=True).dropDuplicates(["id"])

@@ -10,14 +10,15 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from codeloom.session import ship
+from codeloom.session import ship, spread
 
 
-def rows_out(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[tuple]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` for functions from the columns of a batch, as lists, to rows out: no pandas, no row objects."""
+def rows_out(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[tuple]], schema: str | StructType, scan: bool = False) -> DataFrame:
+    """``mapInArrow`` for functions from the columns of a batch, as lists, to rows out: no pandas, no row objects. ``scan``: ``df`` is read from files as it is."""
     schema = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     names = df.columns
     ship(df.sparkSession)
+    df = spread(df) if scan else df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)

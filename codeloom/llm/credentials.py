@@ -296,9 +296,9 @@ def _rows(chunks: DataFrame) -> DataFrame:
 
 def credentials(chunks: DataFrame, dictionary_path: str = tokens.DEFAULT) -> DataFrame:
     """(id, line) of each credential, once."""
-    return rows_out(_rows(chunks), lambda b: _found(b, dictionary_path), "id string, line bigint").distinct()
+    return rows_out(_rows(chunks), lambda b: _found(b, dictionary_path), "id string, line bigint", scan=True).distinct()
 
 
 def redacted(chunks: DataFrame, dictionary_path: str = tokens.DEFAULT) -> DataFrame:
     """Contents that hold credentials, masked: id, content, found. Other contents are as they were."""
-    return rows_out(_rows(chunks), lambda b: _redacted(b, dictionary_path), "id string, content string, found int").dropDuplicates(["id"])
+    return rows_out(_rows(chunks), lambda b: _redacted(b, dictionary_path), "id string, content string, found int", scan=True).dropDuplicates(["id"])

@@ -231,7 +231,7 @@ def documented(chunks: DataFrame) -> DataFrame:
     """Code and description: id, name, description, code; a function that a chunk defines twice has its rows twice."""
     lang = F.coalesce(F.lower("language"), paths.language("file_path"))
     c = chunks.where(F.col("chunk_type").isin("function", "method", "class") & F.col("content").isNotNull() & F.col("id").isNotNull() & lang.isin(*ISLANDS))
-    return rows_out(c.select("id", lang.alias("language"), "chunk_type", "name", "docstring", "content"), _rows, "id string, name string, description string, code string")
+    return rows_out(c.select("id", lang.alias("language"), "chunk_type", "name", "docstring", "content"), _rows, "id string, name string, description string, code string", scan=True)
 
 
 def names(chunks: DataFrame) -> DataFrame:

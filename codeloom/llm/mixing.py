@@ -39,7 +39,7 @@ def _count(batch: dict[str, list], tokenizer: str) -> Iterable[tuple]:
 def sized(documents: DataFrame, tokenizer: str = tokens.DEFAULT) -> DataFrame:
     """doc_id, key, hash of the text, tokens; documents without a text have no row."""
     d = documents.select("doc_id", source_key(F.col("source")).alias("key"), F.sha2("text", 256).alias("hash"), "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    return rows_out(d, lambda b: _count(b, tokenizer), "doc_id bigint, key string, hash string, tokens bigint")
+    return rows_out(d, lambda b: _count(b, tokenizer), "doc_id bigint, key string, hash string, tokens bigint", scan=True)
 
 
 def targets_of(targets: DataFrame) -> list[dict]:

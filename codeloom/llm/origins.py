@@ -143,7 +143,7 @@ def shared_subtrees(files: DataFrame) -> DataFrame:
 def classified(file_info: DataFrame, parse_results: DataFrame) -> DataFrame:
     """One row per source file that is not hand-written: file_id, repo, path, kind (generated, minified, vendored or data)."""
     texts = parse_results.where(F.col("file_id").isNotNull() & F.col("source_text").isNotNull()).select("file_id", "repo", "file_path", "source_text", F.sha2("source_text", 256).alias("hash"))
-    seen = rows_out(texts, _rows, "file_id bigint, repo string, file_path string, hash string, kind string, own boolean, lines int").dropDuplicates(["file_id"])
+    seen = rows_out(texts, _rows, "file_id bigint, repo string, file_path string, hash string, kind string, own boolean, lines int", scan=True).dropDuplicates(["file_id"])
     info = file_info.select("file_id", F.col("repo").alias("in_repo"), "path", F.lower("language").alias("language")).where(F.col("file_id").isNotNull()).dropDuplicates(["file_id"])
     files = written(info.join(seen, "file_id").withColumn("repo", F.coalesce("in_repo", "repo")).withColumn("path", F.coalesce("path", "file_path")).where(F.coalesce("language", paths.language("path")).isNotNull()).drop("in_repo", "file_path"), "origins")
     leaves = files.where(F.col("repo").isNotNull() & F.col("path").isNotNull()).select("repo", F.col("path").alias("node"), "hash", "lines")

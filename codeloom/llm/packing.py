@@ -144,7 +144,7 @@ def _sizes(batch: dict[str, list], capacity: int, tokenizer: str) -> Iterable[tu
 def sized(documents: DataFrame, capacity: int, tokenizer: str = tokens.DEFAULT) -> DataFrame:
     """Texts with their size, those over the capacity divided: doc_id, piece, pieces, start_char, end_char, tokens."""
     docs = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    return rows_out(docs, lambda b: _sizes(b, capacity, tokenizer), "doc_id bigint, piece int, pieces int, start_char int, end_char int, tokens int").dropDuplicates(["doc_id", "piece"])
+    return rows_out(docs, lambda b: _sizes(b, capacity, tokenizer), "doc_id bigint, piece int, pieces int, start_char int, end_char int, tokens int", scan=True).dropDuplicates(["doc_id", "piece"])
 
 
 def capacity_of(limits: DataFrame, limit_id: str = "pack_main") -> int:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import ship, written
+from codeloom.session import ship, spread, written
 
 BUCKETS = 1 << 18
 ROUNDS = 8
@@ -167,7 +167,7 @@ def levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Dat
     """doc_id, grade (null if not graded), difficulty on the scale of the grades, level (1 to 4) of each document."""
     sc = ship(documents.sparkSession).sparkContext
     docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    e = docs.mapInArrow(_edges, "doc_id bigint, words array<int>, parts array<float>")
+    e = spread(docs).mapInArrow(_edges, "doc_id bigint, words array<int>, parts array<float>")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         e = e.dropDuplicates(["doc_id"])
     graded = grades(labels)

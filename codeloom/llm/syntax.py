@@ -144,7 +144,7 @@ def _folded(batch: dict[str, list]) -> Iterable[tuple]:
 def judged(texts: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """(file_id, lang, valid) of rows (file_id, lang, source_text) with a known language."""
     size = F.coalesce(F.length("source_text"), F.lit(0))
-    small = rows_out(texts.where(size <= piece_chars), lambda b: _judged(b, piece_chars), "file_id bigint, lang string, valid boolean")
+    small = rows_out(texts.where(size <= piece_chars), lambda b: _judged(b, piece_chars), "file_id bigint, lang string, valid boolean", scan=True)
     cut = F.udf(lambda lang, t: pieces(prepared(lang, t), piece_chars), "array<string>")
     large = texts.where(size > piece_chars).dropDuplicates(["file_id", "lang"]).select("file_id", "lang", F.posexplode(cut("lang", "source_text")).alias("k", "piece"))
     maps = rows_out(large.repartition("file_id", "k"), _mapped, "file_id bigint, lang string, k int, piece string, maps array<struct<state:string,letters:string,end:string,brackets:string>>")
