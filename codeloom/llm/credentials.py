@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from codeloom.llm import tokens
 from codeloom.llm.common import rows_out
 
+CONTEXT = 200  # characters before a value that may name it
 STRONG_BITS, HOOK_BITS, WEAK_BITS = 6.0, 50.0, 90.0
 SECRET_WORDS = {"password", "passwd", "pwd", "pass", "passphrase", "passcode", "secret", "token", "credential", "credentials", "auth", "apikey", "dbpass", "passwort", "contraseña"}
 KEY_OF = {"api", "access", "secret", "private", "signing", "encryption", "master", "session", "auth", "account", "service"}
@@ -194,7 +195,7 @@ def _text_spans(text: str, at: int, path: str) -> Iterable[tuple[int, int]]:
         v = m[0].rstrip(".:")
         if "://" in v and DSN.search(v) or not any(c.isdigit() for c in v) and len(v) < 16:
             continue
-        before = re.findall(r"[A-Za-z][\w\-]*", text[: m.start()].rpartition("\n")[2])[-3:]
+        before = re.findall(r"[A-Za-z][\w\-]*", text[max(0, m.start() - CONTEXT) : m.start()].rpartition("\n")[2])[-3:]
         words = [w for b in before for w in name_words(b)]
         eq = re.match(r"([A-Za-z_][\w.\-]*)[=:](?=.{8})", v)
         if eq and says_secret(name_words(eq[1])):
@@ -242,7 +243,8 @@ def find(content: str, settings: bool = False, path: str = tokens.DEFAULT) -> li
                 for a, b in spans:
                     out += [(x, [(x, y)]) for x, y in _text_spans(content[a:b], a, path)]
             continue
-        line = content[content.rfind("\n", 0, m.start()) + 1 : m.start()]
+        near = max(0, m.start() - CONTEXT)
+        line = content[max(near, content.rfind("\n", near, m.start()) + 1) : m.start()]
         if (k := ASSIGN.search(line)) is not None:
             s = secret_span(value, name_words(k[1]), "name", path)
         elif (k := CALL.search(line)) is not None:

@@ -110,6 +110,7 @@ def islands(text: str, language: str) -> Iterator[tuple[str, str, int, int]]:
     """(name, documentation as written, start, end) of each function."""
     code = blanked(text, language)
     lines = blank = None
+    row = seen = 0
     for m in ISLANDS[language].finditer(code):
         name = next(v for v in m.groupdict().values() if v)
         start = m.start() + len(m[0]) - len(m[0].lstrip())
@@ -128,7 +129,9 @@ def islands(text: str, language: str) -> Iterator[tuple[str, str, int, int]]:
             continue
         if lines is None:
             lines, blank = text.split("\n"), code.split("\n")
-        doc = comment_before(lines, blank, code.count("\n", 0, start))
+        row += code.count("\n", seen, start)
+        seen = start
+        doc = comment_before(lines, blank, row)
         if language == "ruby":
             indent = len(m[0]) - len(m[0].lstrip(" \t"))
             e = re.compile(rf"^[ \t]{{{indent}}}end\b", re.M).search(code, m.end())

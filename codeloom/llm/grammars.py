@@ -24,7 +24,7 @@ class Grammar:
         twice = [rf"([{doubled}])\1"] if doubled else []
         self.bad = {b: re.compile("|".join(f"(?:{p})" for p in [*twice, *bad, *more])) for b, more in (("P", paren), ("A", paren), ("B", brace), ("file", [*brace, *file]))}
         self.top, self.split, self.first = top and re.compile(top), re.compile(split), first
-        self.judge = lru_cache(200_000)(self._judge)
+        self.judge = lru_cache(50_000)(self._judge)
 
     def _judge(self, kind: str, content: str) -> str:
         if self.bad[kind].search(content):
@@ -47,7 +47,7 @@ class Grammar:
                 if t == s:
                     break
                 s = t
-            self.judge("file", s)
+            self._judge("file", s)
         except Wrong:
             return False
         if self.top is None:

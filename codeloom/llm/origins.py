@@ -78,8 +78,8 @@ def layout(text: str) -> tuple[bool, bool, bool, int]:
     if not lines:
         return False, False, False, 0
     literals = _LITERAL.findall(code)
-    bare = _LITERAL.sub("0", _TEMPLATE.sub("0", code)) if len(code) < 400_000 or len(lines) > 50 else code
-    names = len(_NAME.findall(bare)) if len(bare) < 4_000_000 else len(bare) // 4
+    bare = _LITERAL.sub("0", _TEMPLATE.sub("0", code))
+    names = len(_NAME.findall(bare))
     inside = sum(map(len, literals))
     data = len(literals) >= 10 and names <= 0.25 * len(literals) + 6 and inside >= 0.5 * len(re.sub(r"\s", "", code)) and (len(literals) >= 20 or inside > 400)
     rest = bare.split("\n")

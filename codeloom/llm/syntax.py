@@ -33,7 +33,7 @@ PIECE_CHARS = 1 << 20
 BROADCAST_ROWS = 100_000
 _HEREDOC = re.compile(r"<<[~-]?(['\"]?)([A-Z_]\w*)\1([^\n]*)\n(?s:.*?)^[ \t]*\2\b", re.M)
 _JSX = re.compile(r"</[A-Za-z.]*\s*>|/>")
-_TAG = re.compile(r"<(/?)([A-Za-z][\w.:-]*|(?=>))((?:\s|=>|[^<>\"'{}]|\"[^\"]*\"|'[^']*'|\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\})*?)(/?)>")
+_TAG = re.compile(r"<(/?)([A-Za-z][\w.:-]*|(?=>))((?:=>|[^<>\"'{}]|\"[^\"]*\"|'[^']*'|\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\})*?)(/?)>")
 
 
 def prepared(language: str, text: str) -> str:

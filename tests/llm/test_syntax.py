@@ -92,3 +92,18 @@ def test_operator(spark):
     assert syntax.invalid_files(files.limit(0), texts.limit(0)).count() == 0
     rates = {(r.repo, r.lang): (r.files, r.invalid) for r in syntax.invalid_rates(files, texts).collect()}
     assert rates[None, None] == (3, 1) and rates["r", "python"] == (1, 1)
+
+
+def test_long_texts_take_no_longer_than_their_length():
+    import time
+
+    from codeloom.llm import credentials, docpairs, origins
+
+    began = time.time()
+    line = '{"a": ["' + '", "'.join(f"value {k} of x9" for k in range(20_000)) + '"]}'
+    assert not credentials.find(line) and not credentials.find("`" + "word9 and text " * 30_000 + "`")
+    tag = "const a = (\n  <div " + 'a="b" ' * 2000 + "\n"
+    assert not syntax.valid("javascript", tag)
+    assert len(list(docpairs.islands("// Doc of it.\nfunction f(a) { return 1; }\n" * 5000, "javascript"))) == 5000
+    assert origins.layout(line)[2]
+    assert time.time() - began < 60
