@@ -64,10 +64,10 @@ def water_fill(want: list[float], cap: list[float]) -> list[float]:
     got, open_, rest = [0.0] * len(want), {k for k, w in enumerate(want) if w > 0}, float(sum(want))
     while open_:
         weight = sum(want[k] for k in open_)
-        over = {k for k in open_ if want[k] * rest / weight >= cap[k]}
+        over = {k for k in open_ if want[k] / weight * rest >= cap[k]}
         if not over:
             for k in open_:
-                got[k] = want[k] * rest / weight
+                got[k] = want[k] / weight * rest
             break
         for k in over:
             got[k] = cap[k]
