@@ -3,11 +3,13 @@
 A document's edges go to the different words of its prose; each sentence gives its words equal parts of one, so that a
 long sentence weighs no more than a short one, times the rarity of the word. Graded documents are clamped at the mean of
 their grades. In turn, words take the weighted mean of their documents and documents that of their words, where what has
-been reached only over other estimates counts less. The free estimate of every document, graded or not, is brought to
+been reached only over other estimates counts less. Rounds go on until neither values nor trust move by ``TOLERANCE`` and
+no further word is reached; from the second on they are accelerated (Anderson), which changes the way to the fixed point
+and not the point. ``ROUNDS`` is a guard only: where it is reached, the operator raises. The free estimate of every document, graded or not, is brought to
 the scale of the grades by a monotone fit over a histogram of the graded ones.
 
 Edges stay where their documents are, in a table that each round reads; per round, only the sums by word move, and the
-words' values go back to every executor. Words are hashed to ``BUCKETS`` numbers, which bounds both.
+words' values go back to every executor. They are stored as bytes, which pass the JVM without a look at each. Words are hashed to ``BUCKETS`` numbers, which bounds both.
 
 Code, tables, lists, headings and addresses are not prose; a document without prose (null, blank, all code) gets no
 level. Rows of one doc_id count once; grades of null or outside 1 to 4 and of unknown documents do not count. Without any
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from codeloom.session import ship, spread, written
 
 BUCKETS = 1 << 18
-ROUNDS = 8
+ROUNDS, TOLERANCE, HISTORY = 500, 1e-5, 8
 TRUST = 0.3
 BINS = 400
 EXPERT = 4
@@ -82,20 +84,29 @@ def edges(text: str | None) -> tuple[list[int], list[float]]:
     return [bucket(w) for w in parts], list(parts.values())
 
 
-_EDGES = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.int32())), ("parts", pa.list_(pa.float32()))])
+_EDGES = pa.schema([("doc_id", pa.int64()), ("words", pa.binary()), ("parts", pa.binary())])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [edges(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w for w, _ in got], _EDGES.field(1).type), pa.array([p for _, p in got], _EDGES.field(2).type)], schema=_EDGES)
+        words, parts = ([np.array(x, dtype=t).tobytes() for x in xs] for xs, t in (([w for w, _ in got], np.int32), ([p for _, p in got], np.float32)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary()), pa.array(parts, pa.binary())], schema=_EDGES)
+
+
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers stored as the bytes of a binary column, one after the other, and how many there are in each row."""
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, kind), np.zeros(len(column), dtype=np.int64)
+    at = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(data, np.uint8, at[-1] - at[0], at[0]).view(kind), np.diff(at) // 4
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of each edge, its word, its part."""
-    words, parts = b.column(1), b.column(2)
-    sizes = np.diff(words.offsets.to_numpy())
-    return np.repeat(np.arange(len(sizes)), sizes), words.flatten().to_numpy(), parts.flatten().to_numpy().astype(np.float64)
+    (words, sizes), (parts, _) = _numbers(b.column(1), np.int32), _numbers(b.column(2), np.float32)
+    return np.repeat(np.arange(len(sizes)), sizes), words, parts.astype(np.float64)
 
 
 def _free(b: pa.RecordBatch, rarity: np.ndarray, value: np.ndarray, trust: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +147,7 @@ def _frequency(edges_: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS, dtype=np.int64)
         for b in batches:
-            n += np.bincount(b.column(1).flatten().to_numpy(), minlength=BUCKETS)
+            n += np.bincount(_numbers(b.column(1), np.int32)[0], minlength=BUCKETS)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["word", "n"])
 
@@ -163,11 +174,56 @@ def grades(labels: DataFrame) -> DataFrame:
     return ok.groupBy("doc_id").agg(F.avg("level").alias("grade"))
 
 
+class Accelerated:
+    """The next point to try for a fixed point x = g(x), from the last few points and their g (Anderson's method)."""
+
+    def __init__(self) -> None:
+        self.tried: list[np.ndarray] = []
+        self.moves: list[np.ndarray] = []
+        self.least = np.inf
+
+    def next(self, x: np.ndarray, g: np.ndarray) -> np.ndarray:
+        f = g - x
+        moved = float(np.max(np.abs(f), initial=0.0))
+        if moved > 2 * self.least:  # led astray: a plain step, and from there anew
+            self.__init__()
+            return g
+        self.least = min(self.least, moved)
+        self.tried, self.moves = [*self.tried[-HISTORY:], x], [*self.moves[-HISTORY:], f]
+        if len(self.moves) < 3:
+            return g
+        dx, df = np.diff(self.tried, axis=0), np.diff(self.moves, axis=0)
+        return g - np.linalg.lstsq(df.T, f, rcond=None)[0] @ (dx + df)
+
+
+def _settled(edges_: DataFrame, sc, rarity: np.ndarray, have: np.ndarray, mean: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Value and trust of the words where further rounds change nothing; ``have``: the words that occur."""
+    value, trust = np.full(BUCKETS, mean), np.zeros(BUCKETS)
+    n, reached, way = len(have), -1, Accelerated()
+    for _ in range(rounds):
+        state = sc.broadcast((rarity, value, trust))  # three times BUCKETS numbers, whatever the data
+        got = _by_word(edges_, state).toPandas()
+        state.unpersist()
+        at = got.word.to_numpy(dtype=int)
+        num, den = got.num.to_numpy(dtype=float), got.den.to_numpy(dtype=float)
+        new, sure = np.full(BUCKETS, mean), np.zeros(BUCKETS)
+        new[at] = (num + 1e-3 * mean) / (den + 1e-3)
+        sure[at] = den / (den + 0.5)
+        x, g = np.concatenate([value[have], trust[have]]), np.concatenate([new[have], sure[have]])
+        if len(at) == reached and np.max(np.abs(g - x), initial=0.0) < TOLERANCE:
+            return new, sure
+        reached = len(at)
+        y = way.next(x, g)
+        value, trust = new, sure
+        value[have], trust[have] = np.clip(y[:n], 1, 4), np.clip(y[n:], 0, 1)
+    raise RuntimeError(f"the values of the words still move after {rounds} rounds")
+
+
 def levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, grade (null if not graded), difficulty on the scale of the grades, level (1 to 4) of each document."""
     sc = ship(documents.sparkSession).sparkContext
     docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    e = spread(docs).mapInArrow(_edges, "doc_id bigint, words array<int>, parts array<float>")
+    e = spread(docs).mapInArrow(_edges, "doc_id bigint, words binary, parts binary")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         e = e.dropDuplicates(["doc_id"])
     graded = grades(labels)
@@ -179,21 +235,7 @@ def levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Dat
         return e.select("doc_id", "grade", F.lit(None).cast("double").alias("difficulty"), F.lit(None).cast("int").alias("level"))
     frequency = _frequency(e)
     rarity = np.log(max(2, head.n) / np.maximum(1.0, frequency)) + 0.1
-    value, trust = np.full(BUCKETS, head["mean"]), np.zeros(BUCKETS)
-    for _ in range(rounds):
-        state = sc.broadcast((rarity, value, trust))  # three times BUCKETS numbers, whatever the data
-        got = _by_word(e, state).toPandas()
-        at = got.word.to_numpy(dtype=int)
-        num, den = got.num.to_numpy(dtype=float), got.den.to_numpy(dtype=float)
-        new = value.copy()
-        new[at] = (num + 1e-3 * head["mean"]) / (den + 1e-3)
-        moved = float(np.max(np.abs(new - value)[at], initial=0.0))
-        value = new
-        trust = np.zeros(BUCKETS)
-        trust[at] = den / (den + 0.5)
-        state.unpersist()
-        if moved < 1e-3:
-            break
+    value, trust = _settled(e, sc, rarity, np.flatnonzero(frequency), head["mean"], rounds)
     state = sc.broadcast((rarity, value, trust))
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

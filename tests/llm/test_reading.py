@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from codeloom.llm import reading
 
@@ -40,3 +41,38 @@ def test_operator(spark):
     assert len(none) == len(got) and all(r.level is None for r in none)
     assert reading.levels(d.limit(0), lab).count() == 0
     assert reading.profile(reading.levels(d, lab), d.selectExpr("doc_id", "'S ' AS source")).count() == 5
+
+
+def test_iterated_to_the_end(spark):
+    """Grades at the ends of a chain of documents reach all of it, and the values agree with a long plain iteration."""
+    name = lambda k: "w" + "".join(chr(97 + int(c)) for c in str(k))
+    n = 30
+    texts = [f"{name(k)} {name(k + 1)}." for k in range(n)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    lab = spark.createDataFrame([(0, "r", 1), (n - 1, "r", 4)], "doc_id bigint, rater string, level int")
+    got = {r.doc_id: r for r in reading.levels(d, lab).collect()}
+    assert all(got[k].level is not None for k in range(n))
+    words = [[reading.bucket(name(k)), reading.bucket(name(k + 1))] for k in range(n)]
+    frequency = np.bincount(np.concatenate(words), minlength=reading.BUCKETS)
+    rarity = np.log(n / np.maximum(1.0, frequency)) + 0.1
+    grade = np.array([1.0] + [np.nan] * (n - 2) + [4.0])
+    w = np.array([[0.5 * rarity[x] for x in ws] for ws in words])
+    value, trust = np.full(reading.BUCKETS, 2.5), np.zeros(reading.BUCKETS)
+    for _ in range(2000):
+        t = (w * trust[words]).sum(1)
+        f = np.where(np.isnan(grade), (w * trust[words] * value[words]).sum(1) / np.maximum(t, 1e-300), grade)
+        c = np.where(np.isnan(grade), reading.TRUST * t / w.sum(1), 1.0)
+        num, den = np.zeros(reading.BUCKETS), np.zeros(reading.BUCKETS)
+        np.add.at(num, np.array(words), w * (c * f)[:, None])
+        np.add.at(den, np.array(words), w * c[:, None])
+        value, trust = np.where(den > 0, (num + 1e-3 * 2.5) / (den + 1e-3), value), den / (den + 0.5)
+    free = (w * trust[words] * value[words]).sum(1) / (w * trust[words]).sum(1)
+    want = np.interp(free, *reading.monotone(free[[0, -1]], np.array([1.0, 4.0]), np.ones(2)))
+    assert np.abs(np.array([got[k].difficulty for k in range(n)]) - want).max() < 1e-3
+
+
+def test_guard_raises(spark):
+    d = spark.createDataFrame([(k, f"{a} {b}.") for k, (a, b) in enumerate([("aa", "bb"), ("bb", "cc"), ("cc", "dd")])], "doc_id bigint, text string")
+    lab = spark.createDataFrame([(0, "r", 1), (2, "r", 4)], "doc_id bigint, rater string, level int")
+    with pytest.raises(RuntimeError):
+        reading.levels(d, lab, rounds=2)
