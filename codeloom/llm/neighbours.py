@@ -15,6 +15,10 @@ one class: only classes are compared, and members take their places from the fir
 ``search`` takes stated queries against all rows: codes are scanned in full, in blocks of queries, and the best
 ``RERANK`` by lookup are reranked.
 
+``nearest`` takes every vector as a query and has no least cosine: blocks of ``WIDE_BLOCK`` queries go to all executors
+in turn, and each task scans its rows by products of matrices and keeps the best of each query. What may be among them by
+single precision is scored in double, so the result is exact; the work is that of all pairs.
+
 A vector is usable if it has the right length, finite numbers and not only zeros; all others, null ids and repeated rows
 do not count. Equal cosines: the smaller id first. The codebooks are fitted on ``SAMPLE`` vectors at most, drawn by hash.
 """
@@ -35,6 +39,7 @@ SAMPLE, COARSE, LEVELS, BEAM, PROBES = 8192, 6, 14, 4, 6
 BLOCK, RERANK, QUERY_BLOCK = 2048, 300, 512
 MARGIN, FINE_MARGIN = 0.35, 0.18
 HOT_ROWS = 100_000
+WIDE_BLOCK, SLAB, STRIPES, ROUNDING = 12_288, 1024, 64, 1e-5
 
 
 @dataclass
@@ -315,6 +320,11 @@ def neighbours(items: DataFrame, k: int = 5, least: float = 0.9, key: str = "id"
     both = pairs.unionByName(pairs.select(F.col("other").alias("one"), F.col("one").alias("other"), "cosine"))
     numbers = classes.select("a", "b", "number")
     named = members.join(numbers, ["a", "b"]).select("id", "number")
+    return _listed(named, both, k)
+
+
+def _listed(named: DataFrame, both: DataFrame, k: int) -> DataFrame:
+    """The lists of the members (id, number), from the nearest other classes (one, other, cosine) of each class."""
     heads = named.withColumn("at", F.row_number().over(Window.partitionBy("number").orderBy("id"))).where(F.col("at") <= k + 1).drop("at")
     same = heads.select("number", F.col("id").alias("other"), F.lit(1.0).alias("cosine"))
     near = both.join(heads.select(F.col("number").alias("other"), F.col("id").alias("name")), "other").select(F.col("one").alias("number"), F.col("name").alias("other"), "cosine")
@@ -325,6 +335,85 @@ def neighbours(items: DataFrame, k: int = 5, least: float = 0.9, key: str = "id"
     return own.select("id", F.posexplode("best").alias("rank", "x")).select("id", (F.col("rank") + 1).alias("rank"), F.col("x.other").alias("other"), F.col("x.cosine").alias("cosine"))
 
 
+def nearest(items: DataFrame, k: int = 5, key: str = "id", vector: str = "vector", dimension: int = 64) -> DataFrame:
+    """The k most similar others of each usable vector, at any cosine: id, rank (from 1), other, cosine (to 12 digits). Exact."""
+    spark = ship(items.sparkSession)
+    sc = spark.sparkContext
+    members, classes = prepared(items, key, vector, dimension)
+    n = classes.count()
+    if not n:
+        return spark.createDataFrame([], "id string, rank int, other string, cosine double")
+    named = written(members.join(classes.select("a", "b", "number"), ["a", "b"]).select("id", "number"), "names")
+    count = -(-n // WIDE_BLOCK)
+    block = F.pmod(F.xxhash64(F.lit(3), "a", "b"), F.lit(count)).cast("int")
+    points = written(classes.join(named.groupBy("number").agg(F.min("id").alias("name")), "number").select("number", "name", "vector", block.alias("block")), "points")
+    best = Window.partitionBy("one").orderBy(F.desc("cosine"), "name")
+    found = None
+    for i in range(count):
+        rows = points.where(F.col("block") == i).select("number", "vector").toPandas()  # WIDE_BLOCK vectors, more or less
+        if not len(rows):
+            continue
+        q = np.stack(rows.vector.to_numpy()).astype(np.float64)
+        q, own = q / np.linalg.norm(q, axis=1, keepdims=True), rows.number.to_numpy()
+        del rows
+        asked = sc.broadcast((own, q))
+        got = points.select("number", "name", "vector").mapInArrow(_nearest(asked, k, dimension), "one bigint, other bigint, name string, cosine double")
+        got = written(got.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k).select("one", "other", "cosine"), "nearest")
+        asked.destroy()  # what was found is written
+        found = got if found is None else found.unionByName(got)
+    return _listed(named, found, k)
+
+
+def _nearest(asked, k: int, dimension: int):
+    """The k nearest of each query among the rows of a task, itself left out; equal cosines: the smaller name first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, q = asked.value
+        single = q.astype(np.float32)
+        held: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object), np.zeros(0, np.int64))] * -(-len(q) // SLAB)
+        floor = np.full(len(q), -np.inf)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            number, name, x = np.asarray(b.column(0)), np.array(b.column(1).to_pylist(), dtype=object), _vectors(b.column(2), dimension)
+            width = -(-len(x) // STRIPES)
+            wide = np.zeros((width * STRIPES, dimension), dtype=np.float32)
+            wide[: len(x)] = x
+            for at in range(len(held)):
+                lo = at * SLAB
+                mine, own = q[lo : lo + SLAB], numbers[lo : lo + SLAB]
+                s = single[lo : lo + SLAB] @ wide.T
+                s[:, len(x) :] = -np.inf
+                s = s.reshape(len(mine), STRIPES, width)
+                top = s.max(1)  # of the rows at every width-th place
+                least = floor[lo : lo + SLAB]
+                if width > k:  # k + 1 rows, one of which may be the query, are at least as near as this
+                    least = np.maximum(least, np.partition(top, width - k - 1, 1)[:, width - k - 1])
+                least = least - ROUNDING
+                row, place = np.nonzero(top >= least[:, None])
+                some, stripe = np.nonzero(s[row, :, place] >= least[row, None])
+                row, col = row[some], stripe * width + place[some]
+                ok = col < len(x)
+                row, col = row[ok], col[ok]
+                other = own[row] != number[col]
+                row, col = row[other], col[other]
+                score = np.concatenate([np.einsum("nd,nd->n", mine[row[i : i + 100_000]], x[col[i : i + 100_000]]) for i in range(0, len(row), 100_000)] or [np.zeros(0)])
+                r, c, w, o = (np.concatenate(p) for p in zip(held[at], (row, np.round(score, 12), name[col], number[col])))
+                _, w_at = np.unique(w.astype(str), return_inverse=True)
+                order = np.lexsort((w_at, -c, r))
+                r, c, w, o = r[order], c[order], w[order], o[order]
+                first = np.searchsorted(r, r)
+                rank = np.arange(len(r)) - first
+                keep = rank < k
+                last = rank == k - 1
+                floor[lo + r[last]] = c[last]
+                held[at] = (r[keep], c[keep], w[keep], o[keep])
+        for at, (r, c, w, o) in enumerate(held):
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[at * SLAB + r]), pa.array(o), pa.array(w, pa.string()), pa.array(c)], names=["one", "other", "name", "cosine"])
+
+    return run
+
+
 def pairs(items: DataFrame, k: int = 5, least: float = 0.9, key: str = "id", vector: str = "vector", dimension: int = 64) -> DataFrame:
     """(id_1, id_2), once: pairs of which one is among the k most similar to the other and whose cosine is at least ``least``."""
     n = neighbours(items, k, least, key, vector, dimension)

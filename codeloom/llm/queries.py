@@ -144,10 +144,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """All at a cosine of 0.9 or above, with their prompts."""
+    """The five most similar others of every usable entry, at any cosine, with their prompts."""
     t = table(spark, d, "llm_cache")
     prompts = t.select("id", "prompt").dropDuplicates(["id"])
-    n = neighbours.neighbours(t).withColumn("cosine", F.round("cosine", 6))
+    n = neighbours.nearest(t).withColumn("cosine", F.round("cosine", 6))
     return n.join(prompts, "id").join(prompts.toDF("other", "other_prompt"), "other")
 
 

@@ -83,3 +83,32 @@ def test_search_recall(spark):
     assert len(got) == 60
     assert sum(len(set(v) & set(want[i])) for i, v in got.items()) >= 0.9 * 5 * len(got)
     assert neighbours.search(df, asked.limit(0), dimension=D).count() == 0
+
+
+@pytest.mark.parametrize("block,slab", [(32_768, 1024), (100, 30)])
+def test_nearest_is_exact_at_any_cosine(spark, block, slab, monkeypatch):
+    monkeypatch.setattr(neighbours, "WIDE_BLOCK", block)
+    monkeypatch.setattr(neighbours, "SLAB", slab)
+    ids, x = data(400, 2)
+    x = np.concatenate([x, x[:40] * 2, x[:10]])  # parallel and equal ones
+    ids = ids + [f"j{i:05d}" for i in range(50)]
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)] + [(ids[0], x[0].tolist()), ("null", None), ("zero", [0.0] * D), (None, x[0].tolist())]
+    got: dict[str, list] = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, SCHEMA), 5, dimension=D).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.other)
+    assert got == brute(ids, x, 5, -2)
+
+
+def test_nearest_of_few(spark):
+    df = spark.createDataFrame([("a", [1.0] + [0.0] * (D - 1)), ("b", [-1.0] + [0.0] * (D - 1)), ("c", [0.0] * (D - 1) + [1.0])], SCHEMA)
+    assert [tuple(r)[:3] for r in neighbours.nearest(df, 5, dimension=D).orderBy("id", "rank").collect()] == [("a", 1, "c"), ("a", 2, "b"), ("b", 1, "c"), ("b", 2, "a"), ("c", 1, "a"), ("c", 2, "b")]
+    assert neighbours.nearest(df.limit(0), dimension=D).count() == 0
+
+
+def test_query_lists_every_usable_entry(spark, tmp_path):
+    from codeloom.llm.queries import QUERIES
+
+    x = np.random.default_rng(0).normal(size=(30, 64)).astype(np.float32)
+    rows = [(f"k{i:02d}", v.tolist(), f"p{i}") for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "id string, vector array<float>, prompt string").write.parquet(f"{tmp_path}/llm_cache.parquet")
+    assert QUERIES["p4_neighbours"](spark, str(tmp_path)).count() == 5 * 30
