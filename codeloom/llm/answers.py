@@ -1,9 +1,9 @@
 """Broken prompt and response pairs.
 
 Copies are found by aligning tokens: nearly all of a response's shingles lie in the prompt, and the longest common
-subsequence of the two covers nearly all of both; what frames a quotation does not count. Refusals are found by aligning
-the first sentences with templates, whose words must come in order and close together. Both alignments are between short
-token lists. Truncation is seen in what is still open at the end, and in an end that no sentence, list, code block or
+subsequence of the prompt and some stretch of the response covers nearly all of the prompt; what frames a quotation does
+not count. Refusals are found by aligning every sentence with templates, whose words must come in order and close
+together; a response that declines somewhere is a refusal unless more of its words say something else. Truncation is seen in what is still open at the end, and in an end that no sentence, list, code block or
 JSON value has; the language in the function words of the prose, code and names left out.
 
 Each row has one defect at most, the first of: empty, copied, refusal, truncated, language. A null response is empty; a
@@ -43,7 +43,15 @@ no puedo ayudar|no puedo responder|no puedo hacer|no puedo compartir|no me es po
 _BY_FIRST: dict[str, list[list[str]]] = {}
 for _t in REFUSALS:
     _BY_FIRST.setdefault(_t[0], []).append(_t)
-REFUSAL_GAP, REFUSAL_TOKENS = 3, 80
+REFUSAL_GAP = 3
+# Words of sentences around a refusal: courtesy, its reasons, the speaker and the person asking.
+_AROUND = set(
+    """i me my we our you your sorry apologies afraid thanks thank please understand unfortunately request requests question policy policies guidelines rules permission permitted allowed safety security private privacy confidential sensitive legal such instead
+ich mich mir mein meine wir sie ihnen ihre ihr leid danke bitte leider anfrage frage richtlinien regeln erlaubnis vertraulich solche
+je me mon ma mes nous vous votre vos désolé désolée merci hélas demande question règles consignes politique confidentiel confidentielles telle telles
+yo mi mis nosotros usted le su lamento siento gracias favor solicitud pregunta normas política reglas confidencial tal tales desgracia""".split()
+)
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n\s*\n|\n(?=\s*(?:[-*+•>]|\d+[.)])\s)")
 
 # Frequent function words that tell four languages apart.
 FUNCTION_WORDS = {
@@ -67,15 +75,16 @@ def tokens(text: str) -> list[str]:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, by rows of bits."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            row[j] = left + 1 if x == y else max(up, row[j - 1])
-            left = up
-    return row[-1]
+        if same := row & at.get(x, 0):
+            row = ((row + same) | (row - same)) & full
+    return len(b) - row.bit_count()
 
 
 def bare(response: str | None) -> str:
@@ -94,7 +103,7 @@ def copied(prompt: str | None, text: str) -> bool:
     p = tokens(prompt or "")
     text = _FRAME.sub("", re.sub(r"^[\s>*_\"'`#]+", "", text))
     r = tokens(text)
-    if len(p) < 2 or len(r) < 2 or len(r) > 3 * len(p) + 4:
+    if len(p) < 2 or len(r) < 2:
         return False
     n = min(SHINGLE, len(p), len(r))
     have = {tuple(p[i : i + n]) for i in range(len(p) - n + 1)}
@@ -102,26 +111,49 @@ def copied(prompt: str | None, text: str) -> bool:
     mine = [tuple(r[i : i + n]) for i in range(len(r) - n + 1)]
     if sum(s in have for s in mine) < CONTAINED * len(mine):
         return False
-    return lcs(r[: len(p)] if len(r) > 1.5 * len(p) else r, p) >= COVERED * len(p)
+    wide, step = len(p) + (len(p) + 1) // 2, max(1, len(p) // 2)  # each stretch as long as the prompt lies in one of these
+    return any(lcs(r[i : i + wide], p) >= COVERED * len(p) for i in range(0, max(1, len(r) - wide + step), step))
 
 
-def refusal(text: str) -> bool:
-    """Whether the response declines, in its first two sentences, and does little else."""
-    if len(text) > 8 * REFUSAL_TOKENS or "```" in text:
-        return False
+def _declines(ws: list[str]) -> bool:
+    have = set(ws)
+    for first in have & _BY_FIRST.keys():
+        for template in _BY_FIRST[first]:
+            if have.issuperset(template) and any(w == first and lcs(template, ws[i : i + len(template) + REFUSAL_GAP]) == len(template) for i, w in enumerate(ws)):
+                return True
+    return False
+
+
+def refusal(text: str, prompt: str | None = None) -> bool:
+    """Whether the response declines in some sentence, and no more of its words say something else.
+
+    Code that the prompt holds, that a declining sentence leads to, or that one follows is quoted; other code is content.
+    """
     t = text.lower().replace("’", "'")
     for p, r in _CONTRACTED:
         t = p.sub(r, t)
-    head = " ".join(re.split(r"(?<=[.!?])\s+", t)[:2])
-    ws = [w for x in tokens(re.sub(r"`[^`]*`|\S*/\S+", " ", head)) for w in x.split("_")]
-    if len(ws) > REFUSAL_TOKENS:
-        return False
-    for i, w in enumerate(ws):
-        for template in _BY_FIRST.get(w, ()):
-            window = ws[i : i + len(template) + REFUSAL_GAP]
-            if lcs(template, window) == len(template):
-                return True
-    return False
+    declined, content, said = 0, 0, 0
+    pending = 0  # words of code that a declining sentence may follow
+    asked = set(tokens(prompt or ""))
+    last = False
+    for k, part in enumerate(re.split(r"```(.*?)(?:```|\Z)", t, flags=re.S)):
+        if k % 2:
+            ws = tokens(part)
+            if not last and sum(w in asked for w in ws) < CONTAINED * len(ws):
+                pending += len(ws)
+            continue
+        for sentence in _SENTENCE.split(part):
+            ws = [w for x in tokens(re.sub(r"`[^`]*`|\S*/\S+", " ", sentence)) for w in x.split("_")]
+            if not ws:
+                continue
+            if last := _declines(ws):
+                declined += len(ws)
+                pending = 0
+            elif "`" not in sentence and not _AROUND.isdisjoint(ws):
+                said += len(ws)
+            else:
+                content += len(ws)
+    return declined > 0 and content + pending <= declined + said
 
 
 def prose(text: str) -> str:
@@ -186,7 +218,7 @@ def defect(prompt: str | None, response: str | None, system_prompt: str | None =
         return "empty"
     if copied(prompt, text):
         return "copied"
-    if refusal(text):
+    if refusal(text, prompt):
         return "refusal"
     if truncated(text):
         return "truncated"

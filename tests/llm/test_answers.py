@@ -30,3 +30,21 @@ def test_operator(spark):
     got = dict(map(tuple, answers.defects(spark.createDataFrame(rows, "id string, prompt string, response string, system_prompt string").selectExpr("*", "1 AS defect")).collect()))
     assert got == {str(k): c[0] for k, c in enumerate(CASES) if c[0]}
     assert answers.defects(spark.createDataFrame([], "id string, prompt string, response string, system_prompt string")).count() == 0
+
+
+CODE = "```python\ndef load_ticket(path, lease):\n    return open(path).read() if lease else None\n```"
+WHOLE = [
+    ("refusal", ASK, "Thanks for the question. I have read it twice. I am afraid I can't help with that.", None),
+    ("refusal", ASK, "I'm sorry, but I can't help with that. " + "Your request touches private data, and our rules do not let me describe such files to anyone. " * 12, None),
+    ("refusal", ASK, f"You sent this code:\n\n{CODE}\n\nI am not able to change it.", None),
+    ("refusal", f"Change this: {CODE}", f"I can't help with that.\n\nThe code is:\n\n{CODE}", None),
+    ("copied", ASK, "\n".join([ASK] * 4), None), ("copied", ASK, " ".join([ASK] * 40), None),
+    (None, ASK, "I do not have access to the logs. " + EN + " " + EN, None),
+    (None, ASK, f"I can't help with the logs. This does it:\n\n{CODE}", None),
+    (None, ASK, f"{EN} {ASK} " + EN * 3, None),
+]
+
+
+@pytest.mark.parametrize("want,prompt,response,system", WHOLE)
+def test_whole_response(want, prompt, response, system):
+    assert answers.defect(prompt, response, system) == want
