@@ -3,7 +3,7 @@
 A lexer turns text into one class letter a token. Brackets keep their own characters, ``#`` is a character or word that
 no program of the language has, ``N`` is a line end where the language minds them. ``i`` identifier, ``n`` number,
 ``s`` string, other letters are keywords or operators (see the tables). A state is ``''`` (code) or the opener of what
-is still open: ``/*``, a backtick, a triple quote, or the opener of a raw string.
+is still open: ``/*``, ``=begin``, a backtick, a triple quote, ``%(`` and its like in Ruby, or the opener of a raw string.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ def words(**classes: str) -> dict[str, str]:
     return {w: c for c, ws in classes.items() for w in ws.split()}
 
 
+COMMENTS = ("/*", "=begin")
+
+
 @dataclass
 class Lexer:
     """``code``: pattern of tokens with the groups of ``kinds``; ``opens``: pattern of an opener without its end; ``ends``: opener -> pattern of its end."""
@@ -60,7 +63,7 @@ class Lexer:
             end = self._close(text, state)
             if end is None:
                 return "", state
-            pos, head = end, "" if state == "/*" else "s"
+            pos, head = end, "" if state in COMMENTS else "s"
         get, kinds = self.table.get, self.kinds
         ms = list(self.rx.finditer(text, pos))
         out = [get(m[0]) or kinds[m.lastindex] for m in ms]
@@ -111,6 +114,8 @@ class Lexer:
         return "".join("`{%d" % n for n in stack) + ("`" if inside else "")
 
     def opener(self, token: str) -> str:
+        if m := re.match(r"=begin|%[wWiIqQ]?([\[({])", token):  # Ruby
+            return "%" + m[1] if m[1] else m[0]
         m = re.match(r"/\*|`|'''|\"\"\"|b?(r#*)\"", token)
         return (m[1] or m[0].lstrip("b")) if m else token.lstrip("b")[:1]
 
@@ -185,8 +190,8 @@ LEXERS: dict[str, Lexer] = {
         ident=r"[@$]{0,2}[^\W\d]\w*[?!]?(?!\w)",
         code=[(r"^=begin\b(?s:.*?)^=end[^\n]*", ""), (r"#[^\n]*", ""), (r"<<[~-]?['\"]?(?P<tag>[A-Z_]\w*)['\"]?(?s:[^\n]*\n.*?)^[ \t]*(?P=tag)\b", "s"), (r'"(?s:(?:[^"\\]|\\.)*)"|\'(?s:(?:[^\'\\]|\\.)*)\'|`(?:[^`\\\n]|\\.)*`|%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\})|:"[^"\n]*"', "s"), (r":[^\W\d]\w*[?!=]?", "n"), (r"(?:(?<=[=(,|&!\[{~\n])|(?<=if)|(?<=when))[ \t]*/(?![ =])(?:[^/\\\n]|\\.)+/[imxo]*", "n"), (NUM % "[ri]?", "n"), (r"\n\s*|;", "N")],
         kw=words(f="def", c="class module", I="if unless while until", C="case", k="when in", d="do", T="begin", V="rescue ensure else elsif then", E="end", F="for", r="return break next redo retry yield", q="self nil true false super", j="and or", Y="not"),
-        opens=r"[\"'](?s:.*)",
-        ends={'"': r'(?:[^"\\]|\\.)*"', "'": r"(?:[^'\\]|\\.)*'"},
+        opens=r"(?:[\"']|^=begin\b|%[wWiIqQ]?[\[({])(?s:.*)",
+        ends={'"': r'(?:[^"\\]|\\.)*"', "'": r"(?:[^'\\]|\\.)*'", "=begin": r".*?(?m:^)=end[^\n]*", "%[": r"[^\]]*\]", "%(": r"[^)]*\)", "%{": r"[^}]*\}"},
         ops={**_BASE, "=>": "o", "=~": "o", "!~": "o", "<=>": "o", "..": "o", "...": "o", "::": ".", "&.": ".", "->": "!", "?": "?", "||=": "=", "&&=": "="},
     ),
 }

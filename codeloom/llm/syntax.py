@@ -83,11 +83,11 @@ _DECO = re.compile(r"@[^\n]*\n\Z")
 
 
 def python_valid(text: str) -> bool:
-    """Every statement in the first column, with its suites, parses by itself; where the literals or brackets look out of balance, the whole file decides."""
+    """Every statement in the first column, with its suites, parses by itself; where the literals or brackets look out of balance, the whole file decides, whatever its size."""
     text = text.lstrip("﻿")
     letters, state, tops = lex_python(text)
     if state or summary(letters):
-        return "#" not in letters and python_parses(text) if len(text) < PIECE_CHARS else False
+        return "#" not in letters and python_parses(text)
     return python_parses(text)
 
 
@@ -120,9 +120,9 @@ def fold(language: str, maps: Iterable[dict], texts: Iterable[str]) -> bool:
         letters, state, b = m[state]
         brackets = joined(brackets, b)
         all_letters.append(letters)
-    if state or brackets:
-        return False
-    return python_parses("".join(texts)) if language == "python" else letters_valid(language, "".join(all_letters))
+    if language == "python":  # as in python_valid, the parser decides where the lexer finds no balance
+        return "#" not in "".join(all_letters) and python_parses("".join(texts))
+    return not state and not brackets and letters_valid(language, "".join(all_letters))
 
 
 def _judged(batch: dict[str, list], piece_chars: int) -> Iterable[tuple]:

@@ -107,3 +107,25 @@ def test_long_texts_take_no_longer_than_their_length():
     assert len(list(docpairs.islands("// Doc of it.\nfunction f(a) { return 1; }\n" * 5000, "javascript"))) == 5000
     assert origins.layout(line)[2]
     assert time.time() - began < 60
+
+
+CUT = [
+    ("python", 'd = {"(": 1}\nx = f"{d["("]}"\ny = 2\n', True),
+    ("python", 'd = {"(": 1}\nx = f"{d["("]}"\ny = (2\n', False),
+    ("ruby", "a = 1\n=begin\ndef ( end\nIt's prose [\n=end\nb = 2\n", True),
+    ("ruby", "a = 1\n=begin\ndef ( end\nb = 2\n", False),
+    *(("ruby", f"a = %{kind}{o}\n  one's\n  two {other}\n  three\n{c}\nb = 2\n", True) for kind in ("w", "I", "q", "") for o, c, other in ("[](", "(){", "{}[")),
+    ("ruby", "a = %w(\n  one's\n  two\nb = 2\n", False),
+]
+
+
+@pytest.mark.parametrize("lang,text,want", CUT)
+def test_cut_inside_a_construct(lang, text, want):
+    for size in (1, 8, 20, 1 << 20):
+        ps = pieces(syntax.prepared(lang, text), size)
+        assert syntax.fold(lang, [piece_map(lang, p) for p in ps], ps) == syntax.valid(lang, text, size) == want
+
+
+def test_large_python_files_are_parsed_too(monkeypatch):
+    monkeypatch.setattr(syntax, "PIECE_CHARS", 10)
+    assert syntax.valid("python", CUT[0][1])
