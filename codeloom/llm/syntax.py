@@ -2,7 +2,7 @@
 
 Pieces of a file become maps from the state a lexer is in before the piece to the state after it and to a summary of
 its brackets; maps and summaries are put together associatively, whatever partition a piece was lexed in. Files whose
-literals and brackets are in balance are then judged statement by statement: Python's by the statements of its own
+literals and brackets are in balance are then judged: Python's as a whole by its own
 parser, others by the local grammars of ``grammars``.
 
 Files up to ``piece_chars`` are one piece and are lexed, put together and judged where they lie, without a shuffle; the
@@ -83,7 +83,7 @@ _DECO = re.compile(r"@[^\n]*\n\Z")
 
 
 def python_valid(text: str) -> bool:
-    """Every statement in the first column, with its suites, parses by itself; where the literals or brackets look out of balance, the whole file decides, whatever its size."""
+    """Whether the parser takes the whole file, whatever its size, and the lexer finds nothing wrong where literals or brackets look out of balance."""
     text = text.lstrip("﻿")
     letters, state, tops = lex_python(text)
     if state or summary(letters):
