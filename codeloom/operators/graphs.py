@@ -46,17 +46,18 @@ def reachable(edges: DataFrame, starts: DataFrame, hops: int, source: str = "cal
     return seen
 
 
-def components(edges: DataFrame, source: str = "caller", target: str = "callee", rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, source: str = "caller", target: str = "callee") -> DataFrame:
     """Strongly connected parts of two nodes or more, or of one with an edge to itself: node, part (O-128).
 
     Colours spread forward (the smallest node that reaches a node) and are met backward, round by round; nodes that can't
-    lie on a cycle, having no way in or out, are trimmed first. Each round is a few joins over the edges that are left.
+    lie on a cycle, having no way in or out, are trimmed first. Each round is a few joins over the edges that are left, and
+    meets a part at least; rounds go on until no edge is left.
     """
     e = written(edges.select(F.col(source).cast("string").alias("a"), F.col(target).cast("string").alias("b")).where("a is not null and b is not null").distinct(), "edges")
     loops = e.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("part"))
     e = e.where("a <> b")
-    found = None
-    for _ in range(rounds):
+    found, since = None, 0
+    while True:
         n = -1
         while True:  # trim
             e = written(e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi"), "edges")
@@ -84,6 +85,8 @@ def components(edges: DataFrame, source: str = "caller", target: str = "callee",
             part = new
         ring = part.join(part.groupBy("colour").count().where("count > 1").select("colour"), "colour", "left_semi").select("node", F.col("colour").alias("part"))
         found = ring if found is None else found.unionByName(ring)
+        if (since := since + 1) % 16 == 0:  # keeps the plan short
+            found = written(found, "found")
         done = part.select("node")
         e = written(e.join(done.withColumnRenamed("node", "a"), "a", "left_anti").join(done.withColumnRenamed("node", "b"), "b", "left_anti"), "edges")
     if found is None:
@@ -118,12 +121,12 @@ def roots(classes: DataFrame) -> DataFrame:
     return e.select(F.col("parent").alias("name")).distinct().join(e.select(F.col("child").alias("name")), "name", "left_anti")
 
 
-def tree(classes: DataFrame, depth: int = 50) -> DataFrame:
+def tree(classes: DataFrame) -> DataFrame:
     """Classes below the roots, in the order of a pre-order walk by ``path``, each once by its first place (O-132)."""
     e = inheritance(classes)
     level = roots(classes).select("name", F.array("name").alias("path"), F.lit(0).alias("depth"))
     out = level
-    for _ in range(depth):
+    while True:
         level = written(level.join(e.withColumnRenamed("parent", "name"), "name").where(~F.array_contains("path", F.col("child"))).select(F.col("child").alias("name"), F.concat("path", F.array("child")).alias("path"), (F.col("depth") + 1).alias("depth")), "tree")
         if not level.limit(1).count():
             break

@@ -185,3 +185,9 @@ def test_context(spark):
     c = spark.createDataFrame([("x", "a.py", "m", "P", "method"), ("y", "a.py", "f", None, "function"), ("z", "a.py", "m", "Q", "method")], "id string, file_path string, name string, parent_name string, chunk_type string")
     got = context.heading_chunks(h, c)
     assert rows(got.select("at", "id"), "at") == [(1, "x"), (2, "y")] and [r.id for r in context.unused_chunks(c, got).collect()] == ["z"]
+
+
+def test_deep_trees_are_whole(spark):
+    n = 53
+    c = spark.createDataFrame([(f"C{k:02d}", "a.py", [f"C{k - 1:02d}"] if k else []) for k in range(n)], "name string, file_path string, parents array<string>")
+    assert graphs.tree(c).count() == n
