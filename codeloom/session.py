@@ -26,10 +26,12 @@ def session(app: str = "codeloom", master: str | None = None, partitions: int |
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. A local folder of our own stands in only where it is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. A local folder of our own stands in only where it is unset and all runs on one machine, as in tests."""
     where = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT} names no folder that the executors share")
     known = getattr(spark, "_codeloom_dir", None)
     if not known:
         known = tempfile.mkdtemp(prefix="codeloom-")
@@ -38,14 +40,31 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + known
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: cuts the lineage, and survives the loss of executors."""
+    """``df`` written to the shared folder as Parquet and read again: cuts the lineage, and survives the loss of executors. ``clean`` removes it."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clean)
+    _written[at] = spark
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def clean() -> None:
+    """Removes what ``written`` has left in the shared folder; no result that rests on it may be read after. Runs at the end of the driver, too."""
+    for at, spark in list(_written.items()):
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session has ended
+            pass
+        del _written[at]
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Makes this package importable for Python workers, wherever they run; once a session."""
     sc = spark.sparkContext
@@ -62,21 +81,12 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-SMALL_FILE = 32 << 20
+SMALL_SHARE = 4 << 20  # of a core; below that, files are read by fewer tasks than there are cores
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files are fewer than these and small, so that one file of one row group is not one task; else as it is.
-
-    For scans that feed Python: a table of any size has more files, or larger ones, and is read where it lies.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    names = df.inputFiles()
-    if not names or len(names) >= cores:
-        return df
-    jvm, conf, size = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    for n in names:
-        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(n))
-        size += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return df.repartition(cores) if size <= cores * SMALL_FILE else df
+    """A scan over all cores where its tables are so small that few tasks would read them, before Python works on them; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    return df.repartition(cores) if size <= cores * SMALL_SHARE else df
