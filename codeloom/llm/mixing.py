@@ -51,12 +51,12 @@ def targets_of(targets: DataFrame) -> list[dict]:
 
 
 def supplies(sizes: DataFrame, targets: list[dict]) -> tuple[float, dict[str, tuple[int, int]]]:
-    """Tokens of all documents; source -> tokens of its documents, tokens of its different texts."""
-    per_text = sizes.groupBy("key", "hash").agg(F.sum("tokens").alias("all"), F.first("tokens").alias("one"))
-    per = per_text.groupBy("key").agg(F.sum("all").alias("all"), F.sum("one").alias("one"))
-    total = per.agg(F.sum("all")).first()[0] or 0
+    """Tokens of all documents; source -> tokens of its documents, tokens of its different texts. One pass; no more rows than the mixes have sources come to the driver, and one for all others."""
     keys = sorted({t["key"] for t in targets if t["key"]})
-    return total, {r.key: (r["all"], r.one) for r in per.where(F.col("key").isin(keys)).collect()}
+    named = F.when(F.col("key").isin(keys), F.col("key"))
+    per_text = sizes.groupBy(named.alias("key"), "hash").agg(F.sum("tokens").alias("all"), F.first("tokens").alias("one"))
+    per = per_text.groupBy("key").agg(F.sum("all").alias("all"), F.sum("one").alias("one")).collect()
+    return sum(r["all"] or 0 for r in per), {r.key: (r["all"], r.one) for r in per if r.key is not None}
 
 
 def water_fill(want: list[float], cap: list[float]) -> list[float]:
