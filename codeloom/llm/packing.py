@@ -4,8 +4,11 @@ What is planned is the histogram of sizes, never the list of texts: it has no mo
 combinations of sizes (one to ``DEPTH`` items) that fill a window under the capacity are the columns of a non-negative
 least squares problem whose right side is the histogram; its solution, rounded down, says how often each combination is
 used, and what is left is packed greedily, largest first, each into the fullest container it fits in. Texts then get
-their places by their rank among those of equal size, counted in salted groups, so that a size that a third of all texts
-has makes no large task.
+their places by their rank among those of equal size, counted in salted groups of some ``GROUP_ROWS`` at most, so that a
+size that a third of all texts has makes no large task.
+
+A capacity over ``MAX_SIZES`` is planned in units of several tokens, sizes rounded up and the capacity down, so that the
+histogram keeps its bound, no container is overfull and no text is left out; at most a unit a text stays unused.
 
 A text over the capacity is divided at natural boundaries into pieces that fit; no other text is. Empty texts take no
 room and go to container 0; null texts get no container. Rows are one per text and piece.
@@ -17,6 +20,7 @@ from bisect import bisect_right
 from collections.abc import Iterable
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +28,16 @@ from codeloom.llm import splitting, tokens
 from codeloom.llm.common import rows_out
 from codeloom.session import written
 
-SALTS = 64
+GROUP_ROWS = 50_000
 DEPTH = 4
-MAX_CAPACITY = 1 << 16
+MAX_SIZES = 1 << 16
+COLUMNS = 300_000  # of the least squares, about
 
 
 def combinations(sizes: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
     """For each size as the largest of a container: combinations of up to DEPTH sizes that come as near to the capacity as the sizes at hand allow."""
     out, have = set(), np.sort(sizes)
-    steps = np.unique(have[np.linspace(0, len(have) - 1, min(len(have), 48)).astype(int)])
+    steps = np.unique(have[np.linspace(0, len(have) - 1, min(len(have), max(4, min(48, COLUMNS // (3 * len(have)))))).astype(int)])
 
     def fitting(room: int) -> int | None:
         i = int(np.searchsorted(have, room, "right")) - 1
@@ -132,59 +137,68 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
 def _sizes(batch: dict[str, list], capacity: int, tokenizer: str) -> Iterable[tuple]:
     count = tokens.counter(tokenizer).count
     for i, text in zip(batch["doc_id"], batch["text"]):
-        n = count(text)
+        n, h = count(text), xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
         if n <= capacity:
-            yield i, 0, 1, 0, len(text), n
+            yield i, 0, 1, 0, len(text), n, h
             continue
         spans = splitting.split(text, "tokens", capacity, 0, tokenizer)
         for k, (a, b) in enumerate(spans):
-            yield i, k, len(spans), a, b, count(text[a:b])
+            yield i, k, len(spans), a, b, count(text[a:b]), h
 
 
 def sized(documents: DataFrame, capacity: int, tokenizer: str = tokens.DEFAULT) -> DataFrame:
     """Texts with their size, those over the capacity divided: doc_id, piece, pieces, start_char, end_char, tokens."""
     docs = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    return rows_out(docs, lambda b: _sizes(b, capacity, tokenizer), "doc_id bigint, piece int, pieces int, start_char int, end_char int, tokens int", scan=True).dropDuplicates(["doc_id", "piece"])
+    out = "doc_id bigint, piece int, pieces int, start_char int, end_char int, tokens int"
+    rows = rows_out(docs, lambda b: _sizes(b, capacity, tokenizer), f"{out}, hash bigint", scan=True)
+    # rows of one doc_id count once; should they differ in text, the pieces of one of them
+    one = rows.groupBy("doc_id", "piece", "hash").agg(*[F.first(c).alias(c) for c in ("pieces", "start_char", "end_char", "tokens")])
+    least = one.withColumn("least", F.min("hash").over(Window.partitionBy("doc_id"))).where(F.col("hash") == F.col("least"))
+    return least.select("doc_id", "piece", "pieces", "start_char", "end_char", "tokens")
 
 
 def capacity_of(limits: DataFrame, limit_id: str = "pack_main") -> int:
     row = limits.where((F.col("limit_id") == limit_id) & (F.col("purpose") == "pack")).select("max_size", "unit").first()
-    if row is None or row.unit != "tokens" or not 0 < row.max_size <= MAX_CAPACITY:
-        raise ValueError(f"{limit_id}: no capacity in tokens from 1 to {MAX_CAPACITY}")
+    if row is None or row.unit != "tokens" or not row.max_size or row.max_size < 1:
+        raise ValueError(f"{limit_id}: no capacity in tokens")
     return row.max_size
 
 
 def pack(documents: DataFrame, capacity: int, tokenizer: str = tokens.DEFAULT) -> DataFrame:
     """Each text or piece with its container: doc_id, piece, pieces, start_char, end_char, tokens, container."""
-    items = written(sized(documents, capacity, tokenizer).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS))), "sizes")
-    by_salt = items.groupBy("tokens", "salt").count()
-    before = Window.partitionBy("tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    rows = by_salt.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).select("tokens", "salt", "count", "base")
-    histogram = {r.tokens: r.n for r in by_salt.groupBy("tokens").agg(F.sum("count").alias("n")).collect()}  # at most capacity + 1 rows
+    unit = -(-capacity // MAX_SIZES)
+    room = capacity // unit
+    items = written(sized(documents, capacity, tokenizer).withColumn("size", F.least(F.ceil(F.col("tokens") / unit), F.lit(room)).cast("int")), "sizes")
+    salts = -(-items.count() // GROUP_ROWS) or 1
+    items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    by_salt = items.groupBy("size", "salt").count()
+    before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    rows = by_salt.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).select("size", "salt", "count", "base")
+    histogram = {r["size"]: r.n for r in by_salt.groupBy("size").agg(F.sum("count").alias("n")).collect()}  # at most MAX_SIZES + 1 rows
     starts: dict[int, list[tuple[int, int, int]]] = {}
     used: dict[int, int] = {}
     container = 0
-    for made, times in plan(histogram, capacity):
+    for made, times in plan(histogram, room):
         for s in set(made):
             k = made.count(s)
             starts.setdefault(s, []).append((used.get(s, 0), k, container))
             used[s] = used.get(s, 0) + k * times
         container += times
     firsts = {s: [x[0] for x in v] for s, v in starts.items()}
-    places = items.sparkSession.sparkContext.broadcast((starts, firsts))  # its size follows the capacity, not the texts
+    places = items.sparkSession.sparkContext.broadcast((starts, firsts))  # its size follows the number of sizes, not the texts
 
     def place(batch: dict[str, list]) -> Iterable[tuple]:
         starts, firsts = places.value
-        for i, k, n, a, b, t, rank in zip(*(batch[c] for c in ("doc_id", "piece", "pieces", "start_char", "end_char", "tokens", "rank"))):
+        for i, k, n, a, b, t, s, rank in zip(*(batch[c] for c in ("doc_id", "piece", "pieces", "start_char", "end_char", "tokens", "size", "rank"))):
             c = 0
-            if t:
-                first, each, base = starts[t][bisect_right(firsts[t], rank) - 1]
+            if s:
+                first, each, base = starts[s][bisect_right(firsts[s], rank) - 1]
                 c = base + (rank - first) // each
             yield i, k, n, a, b, t, c
 
-    local = F.row_number().over(Window.partitionBy("tokens", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = items.withColumn("local", local).join(rows.select("tokens", "salt", "base"), ["tokens", "salt"]).withColumn("rank", F.col("base") + F.col("local"))
-    return rows_out(ranked.select("doc_id", "piece", "pieces", "start_char", "end_char", "tokens", "rank"), place, "doc_id bigint, piece int, pieces int, start_char int, end_char int, tokens int, container bigint")
+    local = F.row_number().over(Window.partitionBy("size", "salt").orderBy("doc_id", "piece")) - 1
+    ranked = items.withColumn("local", local).join(rows.select("size", "salt", "base"), ["size", "salt"]).withColumn("rank", F.col("base") + F.col("local"))
+    return rows_out(ranked.select("doc_id", "piece", "pieces", "start_char", "end_char", "tokens", "size", "rank"), place, "doc_id bigint, piece int, pieces int, start_char int, end_char int, tokens int, container bigint")
 
 
 def filling(packed: DataFrame, capacity: int) -> DataFrame:

@@ -45,3 +45,23 @@ def test_operator(spark):
     f = packing.filling(packing.pack(docs, 40), 40).first()
     assert f.items == len(rows) and f.divided == 1 and f.containers <= f.fewest + 2
     assert packing.pack(docs.limit(0), 40).count() == 0
+
+
+def test_large_capacities_and_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_SIZES", 16)
+    monkeypatch.setattr(packing, "GROUP_ROWS", 20)
+    docs = spark.createDataFrame([(k, "ab " * (k % 90)) for k in range(400)] + [(400, "ab " * 500)], "doc_id bigint, text string")
+    rows = packing.pack(docs, 99).collect()
+    room = Counter()
+    for r in rows:
+        room[r.container] += r.tokens
+    assert max(room.values()) <= 99 and {r.doc_id for r in rows} == set(range(401)) and len(rows) == len({(r.doc_id, r.piece) for r in rows})
+    assert [r.doc_id for r in rows if r.pieces > 1 and r.piece == 0] == [400]
+    assert len(room) <= 1.35 * sum(room.values()) / 99
+
+
+def test_one_id_with_two_texts(spark):
+    docs = spark.createDataFrame([(1, "ab " * 100), (1, "cd " * 250), (2, "x")], "doc_id bigint, text string")
+    rows = [r for r in packing.pack(docs, 40).collect() if r.doc_id == 1]
+    assert len({r.pieces for r in rows}) == 1 and sorted(r.piece for r in rows) == list(range(rows[0].pieces))
+    assert sum(r.end_char - r.start_char for r in rows) in (300, 750)
