@@ -118,7 +118,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return origins.classified(table(spark, d, "file_info"), table(spark, d, "parse_results")).groupBy("kind").count()
+    return origins.classified(table(spark, d, "file_info"), table(spark, d, "parse_results")).groupBy("kind", "rule").count()
 
 
 @query

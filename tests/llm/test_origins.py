@@ -30,6 +30,29 @@ def test_operator(spark):
     ]
     info = spark.createDataFrame([f[:4] for f in files], "file_id bigint, repo string, path string, language string").selectExpr("*", "1 AS kind", "'h' AS hash")
     texts = spark.createDataFrame([(f[0], f[1], f[2], f[4]) for f in files], "file_id bigint, repo string, file_path string, source_text string")
-    got = {r.file_id: r.kind for r in origins.classified(info, texts).collect()}
+    rows = origins.classified(info, texts).collect()
+    got = {r.file_id: r.kind for r in rows}
+    assert {r.file_id: r.rule for r in rows}[1] == "tree"
     assert got == {1: "vendored", 2: "vendored", 5: "vendored", 6: "vendored", 7: "vendored", 8: "vendored", 13: "vendored", 14: "generated"}
     assert origins.classified(info.limit(0), texts.limit(0)).count() == 0
+
+
+def test_forks_are_no_evidence(spark):
+    own = {r: [HAND.replace("load", f"load_{r}_{k}") for k in range(8)] for r in "abc"}
+    lib = HAND.replace("load", "library")
+    files = [(f"{repo}{k}", repo, f"src/{'sub/' * (k * 20)}f{k}.py", t) for repo, of in (("a", "a"), ("fork", "a"), ("b", "b"), ("c", "c")) for k, t in enumerate(own[of])]
+    files += [(f"{repo}-lib", repo, f"lib/{repo}.py", lib) for repo in ("a", "fork", "b")]
+    ids = {f[0]: k for k, f in enumerate(files)}
+    info = spark.createDataFrame([(ids[n], repo, p, "python") for n, repo, p, _ in files], "file_id bigint, repo string, path string, language string")
+    texts = spark.createDataFrame([(ids[n], repo, p, t) for n, repo, p, t in files], "file_id bigint, repo string, file_path string, source_text string")
+    assert {r.file_id for r in origins.classified(info, texts).collect()} == {ids[x] for x in ("a-lib", "fork-lib", "b-lib")}
+    only = texts.where("repo in ('a', 'fork')")
+    assert origins.classified(info, only).count() == 0
+
+
+def test_hand_written_numbers_are_not_numbered_on():
+    import random
+
+    rng = random.Random(1)
+    body = "".join(f"    int limit{n} = shard + {n};\n    if (a{rng.randrange(2, 99)} == null) {{\n        return {n};\n    }}\n" for n in (rng.randrange(2, 99) for _ in range(90)))
+    assert origins.kinds("a/b.java", "class A {\n" + body + "}\n", "r")[0] is None
