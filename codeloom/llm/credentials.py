@@ -4,8 +4,12 @@ Each literal, joined literal, settings value and word of a comment is segmented
 and characters no word explains; the dictionary is the vocabulary of a public tokenizer, whose ranks give the costs. What
 stays unexplained, in bits, is weighed with the context: where the name assigned to, the function called or the words
 before say that a secret follows, a short remainder is enough; elsewhere a long one is needed. Formats of hashes, ids and
-embedded data are out, as are references and placeholders; addresses with a password, Basic headers and key blocks are
-judged by their secret part. The rest of a content stays as it is: masks have the length of what they hide.
+embedded data are out, as are references and placeholders. Addresses with a password, headers, signed tokens, access key
+ids, keyed hexadecimal values and key blocks only name the part to be segmented: that, too, is a secret by what no word
+explains in it. The rest of a content stays as it is: masks have the length of what they hide.
+
+The name before a value is read backwards from it, the call around it comes from the brackets open there, kept on the
+way through the content; so a context may be as long as its line, and the work stays linear.
 
 Null contents hold nothing; repeated rows of one id count once; the line is where the value, its first part if joined,
 or the BEGIN line starts.
@@ -17,6 +21,7 @@ import base64
 import binascii
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -26,8 +31,7 @@ from pyspark.sql import functions as F
 from codeloom.llm import tokens
 from codeloom.llm.common import rows_out
 
-CONTEXT = 200  # characters before a value that may name it
-STRONG_BITS, HOOK_BITS, WEAK_BITS = 6.0, 50.0, 90.0
+STRONG_BITS, ID_BITS, HOOK_BITS, WEAK_BITS = 6.0, 40.0, 50.0, 90.0
 SECRET_WORDS = {"password", "passwd", "pwd", "pass", "passphrase", "passcode", "secret", "token", "credential", "credentials", "auth", "apikey", "dbpass", "passwort", "contraseña"}
 KEY_OF = {"api", "access", "secret", "private", "signing", "encryption", "master", "session", "auth", "account", "service"}
 NOT_WORDS = {"label", "field", "name", "names", "hint", "title", "type", "format", "length", "len", "count", "policy", "path", "file", "page", "param", "header_name", "placeholder", "regex", "pattern", "column", "prefix", "suffix"}
@@ -41,8 +45,11 @@ PART = re.compile(_LIT)
 BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?s:(?:(?!-----BEGIN ).)*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|\Z)")
 SETTING = re.compile(r"""^[ \t]*(?:export[ \t]+|-[ \t]+)?["']?([\w.\-]+)["']?[ \t]*[:=][ \t]*([^\s"'#\[{][^\n]*?)[ \t]*,?[ \t\r]*$""", re.M)
 SETTING_FILE = r"(?i)\.(env|ya?ml|json|toml|ini|cfg|conf|properties|tfvars)$|(^|/)\.env[^/]*$"
-ASSIGN = re.compile(r"""([A-Za-z_]\w*(?:[.\-]\w+)*)["'\]]?[ \t]*(?::[ \t]*[\w&' \t<>*\[\]]+?)?[ \t]*(?::=|=>|=|:)[ \t]*(?:[&*]|[brfu]|String::from\(|new String\()?$""")
-CALL = re.compile(r"""([A-Za-z_]\w*)!?\((?:[^()]*,)?[ \t]*(?:\w+[ \t]*[=:][ \t]*)?$""")
+# Read backwards from a value: what is assigned to, with its type; what stands between a bracket and its call; the argument a value is for.
+ASSIGNED = re.compile(r"""(?:[&*]|[brfu]|\(morf::gnirtS|\(gnirtS wen)?[ \t]*(?:=:|>=|=|:)[ \t]*(?:[\w&' \t<>*\[\]]+?[ \t]*:)?[ \t]*["'\]]?((?:\w+[.\-])*\w*[A-Za-z_])(?!\w)""")
+ARGUMENT = re.compile(r"[ \t]*(?:[=:][ \t]*\w+[ \t]*)?(?=[(,])")
+CALLED = re.compile(r"\(!?(\w*[A-Za-z_])(?!\w)")
+BRACKET = re.compile(r"[()]")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ÿ]+|\d+")
 REFERENCE = re.compile(r"^(?:\$\{?\w|\{\{|%\(|<[^<>]*>$|\$\(|process\.env|os\.environ|env[(:.\[]|vault[:.(]|secrets?\.|@)|\$\{|\{\{|%\(|^\*{3,}|^(.)\1{5,}$|^\.\.\.")
 HEX, UUID = re.compile(r"[0-9a-fA-F]+"), re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
@@ -51,7 +58,8 @@ DSN = re.compile(r"\b[a-z][a-z0-9+.\-]*://[^\s:/@\"']*:([^\s@/\"']+)@[\w.\-]+")
 URL = re.compile(r"https?://\S+")
 BASIC = re.compile(r"\b(?:Basic|basic)\s+([A-Za-z0-9+/]{8,}={0,2})(?![\w+/])")
 JWT = re.compile(r"\beyJ[\w\-]{8,}\.[\w\-]{10,}(?:\.[\w\-]+)?")
-DATA = re.compile(r"^data:|;base64,|sourceMappingURL|^sha\d+-|^\$2[aby]\$")
+# How data and hashes begin, the former also in base64 (images, fonts, archives, documents).
+DATA = re.compile(r"^data:|;base64,|sourceMappingURL|^sha\d+-|^\$2[aby]\$|^(?:iVBORw0KGgo|/9j/|R0lGOD|UklGR|AAEAAA|d09GR|UEsDB|H4sI|JVBERi0|PHN2Zy|PD94bWw|AGFzbQ)")
 RUN = re.compile(r"[A-Za-z]+|\d+|[^A-Za-z\d]")
 
 
@@ -68,10 +76,15 @@ def dictionary(path: str = tokens.DEFAULT) -> dict[str, float]:
     return out
 
 
+@lru_cache(2)
+def longest_of(path: str = tokens.DEFAULT) -> int:
+    return max(map(len, dictionary(path)), default=0)
+
+
 @lru_cache(100_000)
 def segment(value: str, path: str = tokens.DEFAULT) -> tuple[tuple[str, ...], float, int]:
     """Words of the cheapest segmentation, bits of what no word explains, and the characters of the longest stretch of that."""
-    known = dictionary(path)
+    known, longest_word = dictionary(path), longest_of(path)
     words, bits, stretch, longest = [], 0.0, 0, 0
     for m in RUN.finditer(value):
         r = m[0]
@@ -90,7 +103,7 @@ def segment(value: str, path: str = tokens.DEFAULT) -> tuple[tuple[str, ...], fl
                 c = best[i] + 8.0
                 if c < best[i + 1]:
                     best[i + 1], back[i + 1] = c, (i, False)
-                for j in range(i + 3, min(n, i + 16) + 1):
+                for j in range(i + 3, min(n, i + longest_word) + 1):
                     b = known.get(low[i:j])
                     if b is not None and best[i] + b < best[j]:
                         s = r[i:j]
@@ -151,7 +164,7 @@ def secret_span(value: str, words: list[str], kind: str, path: str = tokens.DEFA
             return m.span(1) if segment(m[1], path)[1] >= WEAK_BITS else None
         return m.span(1) if colon and len(word) > 3 and not placeholder(word, path) else None
     if m := JWT.search(value):
-        return m.span()
+        return m.span() if segment(m[0], path)[1] >= WEAK_BITS else None
     if value.startswith(("Bearer ", "bearer ", "token ")):
         at = value.index(" ") + 1
         s = secret_span(value[at:], ["token"], "name", path)
@@ -168,14 +181,15 @@ def secret_span(value: str, words: list[str], kind: str, path: str = tokens.DEFA
     whole = (0, len(value))
     if HEX.fullmatch(value) and (len(value) in HASH_SIZES or len(value) >= 24):
         keyed = strong and ({"secret", "signing", "hmac"} & set(words) or "key" in words)
-        return whole if keyed and len(value) not in HASH_SIZES - {32} and not OTHER_WORDS & set(words) else None
+        keyed = keyed and len(value) not in HASH_SIZES - {32} and not OTHER_WORDS & set(words)
+        return whole if keyed and segment(value, path)[1] >= HOOK_BITS else None
     if (strong or kind == "call" and CALLS & set(words)) and password_like(value, path):
         return whole
-    if kind == "none" or len(value) < 16 or len(value) > 400:
+    if kind == "none" or len(value) < 16:
         return None
+    if m := re.fullmatch(r"(?:AKIA|ASIA|AGPA|AIDA|AROA)([A-Z0-9]{16})", value):
+        return whole if segment(m[1], path)[1] >= ID_BITS and not PLACEHOLDERS & set(segment(m[1], path)[0]) else None
     mixed = sum(map(bool, (re.search(r"\d", value), re.search("[a-z]", value), re.search("[A-Z]", value))))
-    if re.fullmatch(r"(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}", value):
-        return whole
     if not re.fullmatch(r"[\w+/=.~\-]+", value) or placeholder(value, path):
         return None
     body = re.sub(r"^(?:[a-z]{2,8}[_\-])+", "", value)
@@ -191,11 +205,16 @@ def _text_spans(text: str, at: int, path: str) -> Iterable[tuple[int, int]]:
         for m in p.finditer(text):
             if s := secret_span(m[0], [], "text", path):
                 yield at + m.start() + s[0], at + m.start() + s[1]
+    names = [(m.end(), m[0]) for m in re.finditer(r"[A-Za-z][\w\-]*|\n", text)]
+    ends = [e for e, _ in names]
     for m in re.finditer(r"[^\s\"'`,;()]{8,}", text):
         v = m[0].rstrip(".:")
         if "://" in v and DSN.search(v) or not any(c.isdigit() for c in v) and len(v) < 16:
             continue
-        before = re.findall(r"[A-Za-z][\w\-]*", text[max(0, m.start() - CONTEXT) : m.start()].rpartition("\n")[2])[-3:]
+        k = bisect_right(ends, m.start())
+        before = [w for _, w in names[max(0, k - 3) : k]]
+        if "\n" in before:
+            before = before[len(before) - before[::-1].index("\n") :]
         words = [w for b in before for w in name_words(b)]
         eq = re.match(r"([A-Za-z_][\w.\-]*)[=:](?=.{8})", v)
         if eq and says_secret(name_words(eq[1])):
@@ -217,10 +236,17 @@ def find(content: str, settings: bool = False, path: str = tokens.DEFAULT) -> li
                 body = m.start() + 27
             end = content.rfind("-----END", m.start(), m.end())
             spans = [(m.start() + x.start() + body - m.start(), m.start() + x.end() + body - m.start()) for x in re.finditer(r"[^\s\"'+\\*]{16,}", content[body : end if end > 0 else m.end()])]
-            if sum(b - a for a, b in spans) >= 40:
+            if sum(segment(content[a:b], path)[1] for a, b in spans) >= WEAK_BITS:
                 blocks.append(m.span())
                 out.append((m.start(), spans))
+    back, calls, seen = None, [], 0  # the content reversed; places of the brackets open here
     for m in TOKEN.finditer(content):
+        for x in BRACKET.finditer(content, seen, m.start()):
+            if x[0] == "(":
+                calls.append(x.start())
+            elif calls:
+                calls.pop()
+        seen = m.end()
         if blocks and any(a < m.end() and m.start() < b for a, b in blocks):
             continue
         if m.lastgroup == "com" or m["com"] is not None:
@@ -243,12 +269,13 @@ def find(content: str, settings: bool = False, path: str = tokens.DEFAULT) -> li
                 for a, b in spans:
                     out += [(x, [(x, y)]) for x, y in _text_spans(content[a:b], a, path)]
             continue
-        near = max(0, m.start() - CONTEXT)
-        line = content[max(near, content.rfind("\n", near, m.start()) + 1) : m.start()]
-        if (k := ASSIGN.search(line)) is not None:
-            s = secret_span(value, name_words(k[1]), "name", path)
-        elif (k := CALL.search(line)) is not None:
-            s = secret_span(value, name_words(k[1]), "call", path)
+        if back is None:
+            back = content[::-1]
+        at = len(content) - m.start()
+        if k := ASSIGNED.match(back, at):
+            s = secret_span(value, name_words(k[1][::-1]), "name", path)
+        elif calls and content.find("\n", calls[-1], m.start()) < 0 and ARGUMENT.match(back, at) and (k := CALLED.match(back, len(content) - calls[-1] - 1)):
+            s = secret_span(value, name_words(k[1][::-1]), "call", path)
         else:
             s = secret_span(value, [], "none", path)
         if s:

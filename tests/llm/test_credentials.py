@@ -1,3 +1,5 @@
+import random
+
 import base64
 
 import pytest
@@ -67,3 +69,15 @@ def test_operator(spark):
     assert sorted(map(tuple, credentials.credentials(chunks).collect())) == [("1", 1), ("2", 1)]
     assert sorted(map(tuple, credentials.redacted(chunks).collect())) == [("1", 'password = "**************"\n', 1), ("2", "PWD=**************\n", 1)]
     assert credentials.credentials(chunks.limit(0)).count() == 0
+
+
+def test_long_contexts_and_values():
+    far = 'connect("' + "option word, " * 60 + '", "user", "Xy12$abcQ9")'
+    assert len(credentials.find(far)) == 1
+    assert credentials.find("password: " + "Name" * 80 + ' = "Xy12$abcQ9"')
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(900))
+    found = credentials.find(f'api_token = "{long}"')
+    assert found and credentials.masked(f'api_token = "{long}"', found) == f'api_token = "{"*" * 900}"'
+    assert not credentials.find(f'image = "iVBORw0KGgo{long}"')
+    assert not credentials.find("x = 'eyJexampletoken.placeholdertokenvalue.signature'") and not credentials.find('k = "AKIAEXAMPLEEXAMPLE0"')
