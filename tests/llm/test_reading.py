@@ -19,9 +19,15 @@ def test_prose_only():
     assert reading.edges(None) == ([], []) and reading.edges(" ") == ([], [])
 
 
-def test_monotone():
-    x, y = reading.monotone(np.array([1.0, 2, 3, 4]), np.array([1.0, 3, 2, 4]), np.ones(4))
-    assert list(x) == [1, 2.5, 4] and list(y) == [1, 2.5, 4]
+def test_cuts():
+    x = np.array([1.0, 2, 3, 4])
+    assert reading.cut(x, np.array([2, 1, 0, 0]), np.array([0, 0, 1, 1])) == 2.5
+    assert reading.cut(x, np.array([2, 0, 1, 0]), np.array([0, 3, 0, 1])) == 1.5
+    assert reading.cut(x, np.zeros(4), np.ones(4)) == -np.inf and reading.cut(x, np.ones(4), np.zeros(4)) == np.inf
+    xs, ys = reading.scale(x, np.array([[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]))
+    assert list(np.floor(np.interp(x, xs, ys) + 0.5)) == [1, 2, 3, 4]
+    xs, ys = reading.scale(np.array([2.0]), np.array([[0, 0, 5, 0]]))
+    assert list(np.interp([0.0, 2.0, 9.0], xs, ys)) == [3, 3, 3]
 
 
 def test_operator(spark):
@@ -52,23 +58,43 @@ def test_iterated_to_the_end(spark):
     lab = spark.createDataFrame([(0, "r", 1), (n - 1, "r", 4)], "doc_id bigint, rater string, level int")
     got = {r.doc_id: r for r in reading.levels(d, lab).collect()}
     assert all(got[k].level is not None for k in range(n))
-    words = [[reading.bucket(name(k)), reading.bucket(name(k + 1))] for k in range(n)]
-    frequency = np.bincount(np.concatenate(words), minlength=reading.BUCKETS)
+    words = [[k, k + 1] for k in range(n)]
+    frequency = np.bincount(np.concatenate(words))
     rarity = np.log(n / np.maximum(1.0, frequency)) + 0.1
     grade = np.array([1.0] + [np.nan] * (n - 2) + [4.0])
     w = np.array([[0.5 * rarity[x] for x in ws] for ws in words])
-    value, trust = np.full(reading.BUCKETS, 2.5), np.zeros(reading.BUCKETS)
+    value, trust = np.full(n + 1, 2.5), np.zeros(n + 1)
     for _ in range(2000):
         t = (w * trust[words]).sum(1)
         f = np.where(np.isnan(grade), (w * trust[words] * value[words]).sum(1) / np.maximum(t, 1e-300), grade)
         c = np.where(np.isnan(grade), reading.TRUST * t / w.sum(1), 1.0)
-        num, den = np.zeros(reading.BUCKETS), np.zeros(reading.BUCKETS)
+        num, den = np.zeros(n + 1), np.zeros(n + 1)
         np.add.at(num, np.array(words), w * (c * f)[:, None])
         np.add.at(den, np.array(words), w * c[:, None])
-        value, trust = np.where(den > 0, (num + 1e-3 * 2.5) / (den + 1e-3), value), den / (den + 0.5)
-    free = (w * trust[words] * value[words]).sum(1) / (w * trust[words]).sum(1)
-    want = np.interp(free, *reading.monotone(free[[0, -1]], np.array([1.0, 4.0]), np.ones(2)))
-    assert np.abs(np.array([got[k].difficulty for k in range(n)]) - want).max() < 1e-3
+        value, trust = (num + 1e-3 * 2.5) / (den + 1e-3), den / (den + 0.5)
+    own = np.where(np.isnan(grade), 0.0, 1.0)[:, None] * w  # graded documents are estimated without their grade
+    left = np.maximum(0.0, den[words] - own)
+    left[left < 1e-9] = 0
+    value = (np.where(left > 0, num[words] - own * np.nan_to_num(grade)[:, None], 0.0) + 1e-3 * 2.5) / (left + 1e-3)
+    trust = left / (left + 0.5)
+    free = (w * trust * value).sum(1) / (w * trust).sum(1)
+    want = np.interp(free, *reading.scale(free[[0, -1]], np.array([[1, 0, 0, 0], [0, 0, 0, 1]])))
+    want = np.where(np.isnan(grade), want, 0.6 * want + 0.4 * np.nan_to_num(grade))
+    assert np.abs(np.array([got[k].difficulty for k in range(n)]) - want).max() < 2e-3
+
+
+@pytest.mark.parametrize("hot", (5, 1_000_000))
+def test_large_vocabularies_stay_distributed(spark, monkeypatch, hot):
+    rng = random.Random(4)
+    docs = [(k, text(rng, [0.0, 0.3, 0.6, 1.0][k % 4])) for k in range(60)] + [(90, None)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    lab = spark.createDataFrame([(k, "r", k % 4 + 1) for k in range(30)], "doc_id bigint, rater string, level int")
+    want = {r.doc_id: r for r in reading.levels(d, lab).collect()}
+    monkeypatch.setattr(reading, "WORDS_SENT", 3)
+    monkeypatch.setattr(reading, "HOT", hot)
+    got = {r.doc_id: r for r in reading.levels(d, lab).collect()}
+    assert set(got) == set(want) and got[90].level is None
+    assert all(got[k].difficulty == pytest.approx(want[k].difficulty, abs=2e-3) for k in range(60))
 
 
 def test_guard_raises(spark):
