@@ -1,74 +1,90 @@
-"""Sections of Google and NumPy docstrings (O-54 to O-56)."""
+"""Sections of Google and NumPy docstrings (O-54 to O-56).
+
+Both styles are one thing here: a docstring is a row of blocks, each a title and the lines below it; the first block has
+no title. The styles differ in how a title is told (a colon at its end, or a rule below it) and in how the first line of
+an item names its type. Items start at the least indentation of their block; deeper lines belong to the item above.
+"""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 
-_GOOGLE = re.compile(r"^\s*(Args|Arguments|Parameters|Returns|Return|Yields|Raises|Example|Examples|Note|Notes)\s*:\s*$", re.I)
-_ITEM = re.compile(r"^\s*(\*{0,2}\w+)\s*(?:\(([^)]+)\))?\s*:\s*(.+)?$")
-_RULE = re.compile(r"^\s*-{3,}\s*$")
-_NUMPY = re.compile(r"^\s*(\w+(?:\s*,\s*\w+)*)\s*(?::\s*(.+))?$")
-_NAMES = {"args": "args", "arguments": "args", "parameters": "args", "other parameters": "args", "returns": "returns", "return": "returns", "yields": "returns", "raises": "raises"}
-
-
-def _empty() -> dict:
-    return {"description": "", "args": {}, "returns": "", "raises": {}}
-
-
-def google(doc: str) -> dict:
-    """description, args and raises (name -> type and description), returns."""
-    out, section, last = _empty(), "description", None
-    lead: list[str] = []
-    for line in doc.split("\n"):
-        if m := _GOOGLE.match(line):
-            section, last = _NAMES.get(m[1].lower(), "other"), None
-            continue
-        t = line.strip()
-        if section == "description":
-            lead.append(t)
-        elif section in ("args", "raises"):
-            m = _ITEM.match(line)
-            if m and t:
-                last = m[1]
-                out[section][last] = {"type": m[2], "description": (m[3] or "").strip()}
-            elif t and last:
-                out[section][last]["description"] = f"{out[section][last]['description']} {t}".strip()
-        elif section == "returns" and t:
-            out["returns"] = f"{out['returns']} {t}".strip()
-    out["description"] = "\n".join(lead).strip()
-    return out
+# Titles of sections, and what they hold.
+TITLES = {"args": "args", "arguments": "args", "parameters": "args", "returns": "returns", "return": "returns", "raises": "raises", "raise": "raises", "example": "", "examples": "", "note": "", "notes": "", "yields": ""}
+_GOOGLE_ITEM = re.compile(r"(?P<names>\*{0,2}\w+)\s*(?:\((?P<type>[^)]+)\))?\s*:(?P<rest>.*)", re.S)
+_NUMPY_ITEM = re.compile(r"(?P<names>\*{0,2}\w+(?:\s*,\s*\*{0,2}\w+)*)\s*(?::(?P<type>.*))?(?P<rest>)", re.S)
+
+
+@dataclass
+class Block:
+    title: str | None
+    lines: list[str] = field(default_factory=list)
+
+    @property
+    def text(self) -> str:
+        return " ".join(" ".join(self.lines).split())
+
+    def items(self) -> list[list[str]]:
+        """Lines of each item, the first at the least indentation of the block."""
+        some = [x for x in self.lines if x.strip()]
+        least = min((len(x) - len(x.lstrip()) for x in some), default=0)
+        out: list[list[str]] = []
+        for x in some:
+            if len(x) - len(x.lstrip()) == least or not out:
+                out.append([])
+            out[-1].append(x.strip())
+        return out
 
 
-def numpy(doc: str) -> dict:
-    out, section, last = _empty(), "description", None
-    lead: list[str] = []
-    lines = doc.split("\n")
-    for k, line in enumerate(lines):
-        if _RULE.match(line):
-            continue
-        if k + 1 < len(lines) and _RULE.match(lines[k + 1]):
-            section, last = _NAMES.get(line.strip().lower(), "other"), None
-            continue
-        t = line.strip()
-        deep = len(line) - len(line.lstrip())
-        if section == "description":
-            lead.append(t)
-        elif section in ("args", "raises") and t:
-            m = _NUMPY.match(line)
-            if m and (last is None or deep <= base):
-                base = deep
-                for last in re.split(r"\s*,\s*", m[1]):
-                    out[section][last] = {"type": m[2], "description": ""}
-            elif last:
-                out[section][last]["description"] = f"{out[section][last]['description']} {t}".strip()
-        elif section == "returns" and t:
-            out["returns"] = f"{out['returns']} {t}".strip()
-    out["description"] = "\n".join(lead).strip()
+def _blocks(doc: str, numpy: bool) -> list[Block]:
+    lines = doc.expandtabs(4).split("\n")
+    out = [Block(None)]
+    for k, x in enumerate(lines):
+        name = x.strip()
+        if numpy:
+            if re.fullmatch(r"-{3,}", name):
+                continue
+            is_title = k + 1 < len(lines) and re.fullmatch(r"\s*-{3,}\s*", lines[k + 1]) is not None
+        else:
+            is_title = name.endswith(":") and name[:-1].lower() in TITLES
+        if is_title:
+            out.append(Block(name.rstrip(":").lower()))
+        else:
+            out[-1].lines.append(x)
     return out
 
 
+def _parsed(doc: str | None, numpy: bool) -> dict:
+    """description, returns (None without such a section), args and raises: name -> type and description."""
+    found: dict = {"description": "", "args": {}, "returns": None, "raises": {}}
+    for b in _blocks(doc, numpy) if doc else ():
+        kind = "description" if b.title is None else TITLES.get(b.title, "")
+        if kind in ("description", "returns"):
+            found[kind] = b.text
+        elif kind:
+            last: list[dict] = []
+            for first, *more in b.items():
+                m = (_NUMPY_ITEM if numpy else _GOOGLE_ITEM).fullmatch(first)
+                if m:
+                    kept = (m["type"] or "").strip() or None
+                    last = [found[kind].setdefault(n.strip(), {"type": kept, "description": ""}) for n in m["names"].split(",")]
+                    more = [m["rest"].strip(), *more]
+                else:
+                    more = [first, *more]
+                for e in last:
+                    e["description"] = " ".join(x for x in (e["description"], *more) if x)
+    return found
+
+
+def google(doc: str | None) -> dict:
+    return _parsed(doc, False)
+
+
+def numpy(doc: str | None) -> dict:
+    return _parsed(doc, True)
+
+
 def parse(doc: str | None) -> dict:
-    """By the style the docstring has; without any sections, Google's."""
-    if not doc:
-        return _empty()
-    return numpy(doc) if re.search(r"^\s*(?:Parameters|Returns|Raises|Yields)\s*\n\s*-{3,}", doc, re.M) else google(doc)
+    """By the style the docstring has; without rules under titles, Google's."""
+    return _parsed(doc, bool(doc) and re.search(r"(?m)^\s*(?:Parameters|Returns|Raises|Yields)\s*\n\s*-{3,}", doc) is not None)

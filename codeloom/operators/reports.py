@@ -96,12 +96,11 @@ def is_test_module(module: Column, path: Column) -> Column:
 
 # Words in package names by which dependencies are told apart, in this order.
 CATEGORIES = {
-    "Web": ("flask", "django", "fastapi", "starlette", "express", "react", "vue", "angular", "http", "requests", "aiohttp"),
-    "Database": ("sql", "mongo", "redis", "postgres", "psycopg", "lancedb", "orm"),
-    "AI/ML": ("torch", "tensorflow", "sklearn", "scikit", "transformers", "openai", "anthropic", "numpy", "pandas"),
-    "CLI": ("click", "typer", "argparse", "rich"),
-    "Testing": ("pytest", "unittest", "jest", "mocha", "mock"),
-    "Parsing": ("treesitter", "parser", "yaml", "toml", "json", "xml"),
+    "Web Framework": ("flask", "fastapi", "django", "starlette", "aiohttp", "tornado", "express", "koa", "hapi"),
+    "Database": ("sqlalchemy", "pymongo", "redis", "lancedb", "chromadb", "psycopg2", "mysql", "sqlite", "prisma", "typeorm", "sequelize"),
+    "Testing": ("pytest", "unittest", "nose", "jest", "mocha", "vitest"),
+    "CLI": ("click", "typer", "argparse", "commander", "yargs"),
+    "AI/ML": ("openai", "anthropic", "langchain", "transformers", "torch", "tensorflow", "sentence-transformers", "ollama"),
 }
 
 

@@ -64,6 +64,8 @@ def test_docstrings():
     assert g["description"] == "Does it." and g["args"]["a"] == {"type": "int", "description": "first more"} and g["returns"] == "A thing." and "ValueError" in g["raises"]
     n = docstrings.parse("Does it.\n\nParameters\n----------\na : int\n    first\nb\n\nReturns\n-------\nstr\n    text\n")
     assert n["args"]["a"] == {"type": "int", "description": "first"} and n["args"]["b"]["type"] is None and n["returns"] == "str text"
+    assert docstrings.google("Long\ntext.\n\nNote:\n    none")["description"] == "Long text." and docstrings.parse("x")["returns"] is None
+    assert docstrings.parse("D.\n\nArgs:\n    a: one\n    b (dict[str, int]): two\n        lines: more\n\nReturns:\n    x\n    y")["args"]["b"] == {"type": "dict[str, int]", "description": "two lines: more"}
     assert docstrings.parse(None)["args"] == {} and docstrings.parse("Only text.")["description"] == "Only text."
 
 
@@ -76,21 +78,33 @@ def test_snippets():
 
 
 def test_manifests(spark):
-    py = '[project]\nname = "a"\nversion = "1"\ndependencies = ["x>=1", "y[z]"]\n[project.optional-dependencies]\ndev = ["pytest"]\n'
+    py = '[project]\nname = "a"\nversion = "1"\nrequires-python = ">=3.11"\nlicense = {text = "MIT"}\nauthors = [{name = "N"}, {email = "e@x"}]\ndependencies = ["x>=1", "y[z]", "???"]\n[project.optional-dependencies]\ndev = ["pytest"]\n[project.scripts]\nrun = "a:main"\n'
     p = manifests.parse("pyproject.toml", py)
-    assert p["name"] == "a" and p["dependencies"] == [("x", ">=1", False), ("y", "*", False), ("pytest", "*", True)]
-    assert manifests.parse("package.json", '{"name": "b", "devDependencies": {"typescript": "^5"}}')["language"] == "TypeScript"
-    assert manifests.parse("Cargo.toml", '[package]\nname="c"\n[dependencies]\ns = { version = "1" }\n')["dependencies"] == [("s", "1", False)]
-    assert manifests.parse("go.mod", "module h.org/o/d\nrequire h.org/x v1.2.0\n")["dependencies"] == [("h.org/x", "v1.2.0", False)]
-    pom = '<project xmlns="u"><artifactId>e</artifactId><dependencies><dependency><groupId>g</groupId><artifactId>i</artifactId><scope>test</scope></dependency></dependencies></project>'
-    assert manifests.parse("pom.xml", pom)["dependencies"] == [("g:i", "*", True)]
-    assert manifests.parse("Gemfile", "gem 'rails', '~> 7'\n")["dependencies"] == [("rails", "~> 7", False)]
-    assert manifests.parse("build.gradle", "testImplementation 'g:i:1'\n")["dependencies"] == [("g:i", "1", True)]
-    assert manifests.parse("package.json", "{bad")["dependencies"] == []
+    assert p.name == "a" and p.dependencies == {"x": ">=1", "y": "*"} and p.dev_dependencies == {"pytest": "*"} and p.authors == ["N", "e@x"]
+    assert (p.license, p.language_version, p.entry_points) == ("MIT", ">=3.11", {"run": "a:main"})
+    poetry = manifests.parse("pyproject.toml", '[tool.poetry]\nname = "p"\n[tool.poetry.dependencies]\npython = "^3"\nq = "1"\nr = {version = "2"}\n[tool.poetry.dev-dependencies]\nt = "3"\n')
+    assert poetry.name == "p" and poetry.dependencies == {"q": "1", "r": "2"} and poetry.dev_dependencies == {"t": "3"}
+    node = manifests.parse("package.json", '{"name": "b", "main": "i.js", "bin": "c.js", "engines": {"node": ">=18"}, "scripts": {"build": "x"}, "repository": {"url": "u"}, "devDependencies": {"typescript": "^5"}}')
+    assert node.language == "TypeScript" and node.entry_points == {"main": "i.js", "b": "c.js"} and node.language_version == "Node >=18" and node.scripts == {"build": "x"} and node.repository == "u"
+    rust = manifests.parse("Cargo.toml", '[package]\nname="c"\nedition="2021"\n[dependencies]\ns = { version = "1" }\nl = { path = "x" }\n[[bin]]\nname = "m"\npath = "src/m.rs"\n')
+    assert rust.dependencies == {"s": "1", "l": "*"} and rust.language_version == "Edition 2021" and rust.entry_points == {"m": "src/m.rs"}
+    go = manifests.parse("go.mod", "module h.org/o/d\n\ngo 1.21\n\nrequire h.org/x v1.2.0\nrequire (\n\th.org/gin-gonic/gin v1.9.0 // indirect\n\t// h.org/no v1\n)\nreplace (\n\ta b\n)\n")
+    assert go.name == "d" and go.language_version == "1.21" and go.dependencies == {"x": "v1.2.0", "gin": "v1.9.0"}
+    pom = '<project xmlns="u"><artifactId>e</artifactId><properties><java.version>17</java.version></properties><dependencies><dependency><groupId>g</groupId><artifactId>i</artifactId><scope>test</scope></dependency><dependency><groupId>g</groupId><artifactId>k</artifactId><version>2</version></dependency></dependencies></project>'
+    java = manifests.parse("pom.xml", pom)
+    assert (java.name, java.language_version, java.dev_dependencies, java.dependencies) == ("e", "17", {"i": "*"}, {"k": "2"})
+    assert manifests.parse("Gemfile", "gem 'rails', '~> 7'\ngem \"pg\"\n").dependencies == {"rails": "~> 7", "pg": "*"}
+    gradle = manifests.parse("build.gradle", "dependencies {\n testImplementation 'g:i:1'\n implementation(\"g:k:2\")\n}\n")
+    assert gradle.dev_dependencies == {"i": "1"} and gradle.dependencies == {"k": "2"}
+    setup = manifests.parse("setup.py", "from setuptools import setup\nneeds = ['a>=1', 'b']\nsetup(name='s', version='2', install_requires=needs, python_requires='>=3', extras_require={'t': ['c']})\n")
+    assert (setup.name, setup.version, setup.dependencies, setup.dev_dependencies, setup.language_version) == ("s", "2", {"a": ">=1", "b": "*"}, {"c": "*"}, ">=3")
+    assert manifests.parse("package.json", "{bad") == manifests.parse("setup.py", "def (") == manifests.Manifest()
     f = manifests.fold({"pyproject.toml": py, "requirements.txt": "x==9\nq\n", "setup.py": 'setup(name="no")'})
-    assert f["name"] == "a" and f["dependencies"]["x"][0] == ">=1" and "q" in f["dependencies"]
-    rows = spark.createDataFrame([("r", "s/requirements.txt", "x==1\n# c\n-r y\nz\n"), ("r", "other.txt", "x"), ("r", "package.json", None)], "repo string, path string, text string")
-    assert sorted((r.name, r.version) for r in manifests.dependencies(rows).collect()) == [("x", "==1"), ("z", "*")]
+    assert f.name == "a" and f.dependencies["x"] == ">=1" and "q" in f.dependencies and f.manifest_files == ["pyproject.toml", "setup.py", "requirements.txt"]
+    rows = spark.createDataFrame([("r", "s/requirements.txt", "x==1\n# c\n-r y\nz\n"), ("r", "other.txt", "x"), ("r", "package.json", None), ("r", "p/pyproject.toml", py)], "repo string, path string, text string")
+    assert sorted((r.name, r.version, r.is_dev) for r in manifests.dependencies(rows).collect()) == [("pytest", "*", True), ("x", "==1", False), ("x", ">=1", False), ("y", "*", False), ("z", "*", False)]
+    assert manifests.unchanged({"go.mod": 1.0, "x": 2.0}, {"go.mod": 1.0}) and not manifests.unchanged({"go.mod": 1.0}, {"go.mod": 2.0})
+
 
 
 def test_logs(spark):

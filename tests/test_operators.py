@@ -57,7 +57,7 @@ def test_glossary_and_registry(spark):
     df = spark.createDataFrame([chunk(str(k), name=n, kind=t) for k, (n, t) in enumerate([("alpha", "function"), ("Alpha", "class"), ("_private", "function"), ("123func", "function"), (None, "class"), ("get", "function"), ("VectorStore", "class")])], CHUNK)
     assert {(r.letter, r.type): r.entries for r in reports.glossary(df).collect()} == {("A", "function"): 1, ("A", "class"): 1, ("#", "function"): 2, ("U", "class"): 1, ("G", "function"): 1, ("V", "class"): 1}
     assert sorted((r.name, r.alias) for r in reports.registered(df, ["alpha"]).collect()) == [("123func", None), ("VectorStore", "Vector Store")]
-    assert rows(spark.createDataFrame([("flask-sql",), ("py-test",), ("left",)], "n string").select(reports.dependency_category(F.col("n")))) == [("Web",), ("Testing",), ("Other",)]
+    assert rows(spark.createDataFrame([("flask-sql",), ("py-test",), ("left",)], "n string").select(reports.dependency_category(F.col("n")))) == [("Web Framework",), ("Testing",), ("Other",)]
 
 
 def test_changes(spark):
