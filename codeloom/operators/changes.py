@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 
 def file_changes(current: DataFrame, previous: DataFrame, key: str = "path", value: str = "hash") -> DataFrame:
     """Each file of either snapshot as added, changed, unchanged or removed; rows of one key in a snapshot must be one (O-71, O-126)."""
-    j = current.select(key, F.col(value).alias("now")).join(previous.select(key, F.col(value).alias("before")), key, "full_outer")
-    has_now = current.select(key, F.lit(True).alias("in_now"))
-    has_before = previous.select(key, F.lit(True).alias("in_before"))
-    j = j.join(has_now, key, "left").join(has_before, key, "left")
+    now = current.select(key, F.col(value).alias("now"), F.lit(True).alias("in_now"))
+    j = now.join(previous.select(key, F.col(value).alias("before"), F.lit(True).alias("in_before")), key, "full_outer")
     status = F.when(F.col("in_before").isNull(), "added").when(F.col("in_now").isNull(), "removed").when(F.col("now").eqNullSafe(F.col("before")), "unchanged").otherwise("changed")
     return j.select(key, status.alias("status"))
 
@@ -30,12 +28,14 @@ def pages_to_renew(before: DataFrame, now: DataFrame) -> DataFrame:
     return per.join(now.select("page").distinct(), "page", "left_semi")
 
 
-def staleness(pages: DataFrame, sources: DataFrame, modified: DataFrame, days: int = 0) -> DataFrame:
+def staleness(pages: DataFrame, sources: DataFrame, modified: DataFrame | None = None, days: int = 0) -> DataFrame:
     """Per page the newest of its dated sources, whole days it is newer than the page, and whether that is stale (O-79).
 
-    pages: page, generated_at; sources: page, source; modified: source, at. Pages without a dated source are not stale.
+    pages: page, generated_at; sources: page, source; modified: source, at, or None if sources have ``at`` themselves.
+    Pages without a dated source are not stale.
     """
-    newest = sources.join(modified, "source").groupBy("page").agg(F.max("at").alias("newest"), F.count("at").alias("dated"))
+    dated = sources if modified is None else sources.join(modified, "source")
+    newest = dated.groupBy("page").agg(F.max("at").alias("newest"), F.count("at").alias("dated"))
     gap = F.floor((F.unix_timestamp(F.col("newest").cast("timestamp")) - F.unix_timestamp(F.col("generated_at").cast("timestamp"))) / 86400)
     j = pages.join(newest, "page", "left")
     stale = (F.col("newest") > F.col("generated_at")) & (gap >= days)

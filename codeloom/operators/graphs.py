@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.session import written
+from codeloom.session import ship, written
+
+ONE_TASK_EDGES = 500_000  # some tens of MB of names
 
 
 def reversed_edges(edges: DataFrame, source: str = "caller", target: str = "callee") -> DataFrame:
@@ -46,14 +51,68 @@ def reachable(edges: DataFrame, starts: DataFrame, hops: int, source: str = "cal
     return seen
 
 
-def components(edges: DataFrame, source: str = "caller", target: str = "callee") -> DataFrame:
-    """Strongly connected parts of two nodes or more, or of one with an edge to itself: node, part (O-128).
-
-    Colours spread forward (the smallest node that reaches a node) and are met backward, round by round; nodes that can't
-    lie on a cycle, having no way in or out, are trimmed first. Each round is a few joins over the edges that are left, and
-    meets a part at least; rounds go on until no edge is left.
+def strong_parts(edges: list[tuple[str, str]]) -> dict[str, str]:
+    """Node -> smallest node of its strongly connected part, for those on a cycle: a depth-first walk that keeps its own stack."""
+    ways: dict[str, list[str]] = {}
+    for a, b in edges:
+        ways.setdefault(a, []).append(b)
+        ways.setdefault(b, [])
+    met: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_: list[str] = []
+    place: dict[str, int] = {}
+    part: dict[str, str] = {}
+    done: set[str] = set()
+    loops = {a for a, b in edges if a == b}
+    for start in ways:
+        if start in met:
+            continue
+        walk = [(start, iter(ways[start]))]
+        met[start] = low[start] = len(met)
+        place[start] = len(open_)
+        open_.append(start)
+        while walk:
+            a, rest = walk[-1]
+            b = next((x for x in rest if x not in met or x not in done), None)
+            if b is None:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[a])
+                if low[a] == met[a]:
+                    some = open_[place[a] :]
+                    del open_[place[a] :]
+                    done.update(some)
+                    if len(some) > 1 or a in loops:
+                        part |= dict.fromkeys(some, min(some))
+            elif b in met:
+                low[a] = min(low[a], met[b])
+            else:
+                met[b] = low[b] = len(met)
+                place[b] = len(open_)
+                open_.append(b)
+                walk.append((b, iter(ways[b])))
+    return part
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = strong_parts([p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())])
+        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.string())], names=["node", "part"])
+
+    ship(edges.sparkSession)
+    return edges.coalesce(1).mapInArrow(run, "node string, part string")
+
+
+def components(edges: DataFrame, source: str = "caller", target: str = "callee", one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """Strongly connected parts of two nodes or more, or of one with an edge to itself: node, part (the smallest node) (O-128).
+
+    Up to ``one_task`` edges are walked in one task. More are worked on round by round: nodes that can't lie on a cycle,
+    having no way in or out, are trimmed; colours spread forward (the smallest node that reaches a node) and are met
+    backward. Each round is a few joins over the edges that are left, and meets a part at least, until few are left.
     """
     e = written(edges.select(F.col(source).cast("string").alias("a"), F.col(target).cast("string").alias("b")).where("a is not null and b is not null").distinct(), "edges")
+    if e.count() <= one_task:
+        return _in_one_task(e)
     loops = e.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("part"))
     e = e.where("a <> b")
     found, since = None, 0
@@ -67,6 +126,10 @@ def components(edges: DataFrame, source: str = "caller", target: str = "callee")
             n = m
         if not m:
             break
+        if m <= one_task:
+            rest = _in_one_task(e)
+            found = rest if found is None else found.unionByName(rest)
+            break
         nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
         colour = nodes.withColumn("colour", F.col("node"))
         while True:
@@ -76,13 +139,13 @@ def components(edges: DataFrame, source: str = "caller", target: str = "callee")
             colour = new
             if not moved:
                 break
-        part = colour.where("node = colour")
+        part, size = colour.where("node = colour"), -1
         while True:
             back = e.join(part.select(F.col("node").alias("b"), "colour"), "b").select(F.col("a").alias("node"), "colour").join(colour, ["node", "colour"], "left_semi")
             new = written(part.unionByName(back).distinct(), "parts")
-            if new.count() == part.count():
+            part, before, size = new, size, new.count()
+            if size == before:
                 break
-            part = new
         ring = part.join(part.groupBy("colour").count().where("count > 1").select("colour"), "colour", "left_semi").select("node", F.col("colour").alias("part"))
         found = ring if found is None else found.unionByName(ring)
         if (since := since + 1) % 16 == 0:  # keeps the plan short

@@ -11,11 +11,13 @@ from codeloom.functions import text
 def commits_by_day(commits: DataFrame, shown: int = 5) -> DataFrame:
     """Commits, authors and the first files of each day (O-98): day, commits, authors, files. ``commits``: id, author, ts, file (null if none)."""
     day = F.to_date("ts").alias("day")
-    first = Window.partitionBy("day").orderBy("file")
-    files = commits.select(day, "file").where("file is not null").distinct().withColumn("at", F.row_number().over(first)).where(F.col("at") <= shown)
-    files = files.groupBy("day").agg(F.array_sort(F.collect_list("file")).alias("files"))
-    all_ = commits.groupBy(day).agg(F.countDistinct("id").alias("commits"), F.countDistinct("author").alias("authors"), F.countDistinct("file").alias("changed"))
-    return all_.join(files, "day", "left").withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
+    w = Window.partitionBy("day")
+    files = commits.where("file is not null").select(day, "file").distinct()
+    files = files.withColumn("at", F.row_number().over(w.orderBy("file"))).withColumn("changed", F.count("*").over(w)).where(F.col("at") <= shown)
+    files = files.groupBy("day").agg(F.max("changed").alias("changed"), F.array_sort(F.collect_list("file")).alias("files"))
+    per = commits.groupBy(day, "id").agg(F.first("author", ignorenulls=True).alias("author"))
+    all_ = per.groupBy("day").agg(F.count("*").alias("commits"), F.countDistinct("author").alias("authors"))
+    return all_.join(files, "day", "left").select("day", "commits", "authors", F.coalesce("changed", F.lit(0)).alias("changed"), F.coalesce("files", F.array().cast("array<string>")).alias("files"))
 
 
 def contributors(commits: DataFrame) -> DataFrame:

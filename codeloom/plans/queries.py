@@ -210,8 +210,8 @@ _STALE = "SELECT o_orderkey AS page, o_orderdate AS generated_at, max(l_shipdate
 
 def _stale(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("page"), F.col("o_orderdate").alias("generated_at"))
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("source"), F.col("l_shipdate").alias("at"))
-    return changes.staleness(pages, lines.select("page", "source").distinct(), lines.groupBy("source").agg(F.max("at").alias("at")), 30)
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_shipdate").alias("at"))
+    return changes.staleness(pages, lines, days=30)
 
 
 @query(f"WITH s AS ({_STALE}) SELECT page, newest, CASE WHEN newest > generated_at THEN date_diff('day', generated_at, newest) END AS days_stale, coalesce(newest > generated_at AND date_diff('day', generated_at, newest) >= 30, false) AS stale FROM s")
@@ -287,19 +287,36 @@ def class_table(spark: SparkSession, d: str) -> DataFrame:
     return graphs.class_table(_classes(spark, d)).withColumn("parents", F.array_join("parents", ","))
 
 
-@query(f"{_CLASSES} SELECT DISTINCT name AS child, parent FROM k WHERE parent IN (SELECT name FROM k)")
+# Classes that inherit, over all customers: each from the one of a quarter of its number, every third also from the one of a fifth.
+_KIN = """k AS (SELECT 'C' || c_custkey AS name, c_mktsegment AS file_path, unnest(list_filter([CASE WHEN c_custkey >= 4 THEN 'C' || (c_custkey // 4) END, CASE WHEN c_custkey % 3 = 0 AND c_custkey >= 5 THEN 'C' || (c_custkey // 5) END], lambda x: x IS NOT NULL)) AS parent FROM customer),
+n AS (SELECT 'C' || c_custkey AS name FROM customer), e AS (SELECT DISTINCT name AS child, parent FROM k WHERE parent IN (SELECT name FROM n)), r AS (SELECT DISTINCT parent AS name FROM e WHERE parent NOT IN (SELECT child FROM e))"""
+
+
+def _kin(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    up = lambda n: F.concat(F.lit("C"), F.floor(key / n).cast("string"))
+    parents = F.filter(F.array(F.when(key >= 4, up(4)), F.when((key % 3 == 0) & (key >= 5), up(5))), lambda x: x.isNotNull())
+    return table(spark, d, "customer").select(F.concat(F.lit("C"), key.cast("string")).alias("name"), F.col("c_mktsegment").alias("file_path"), parents.alias("parents"))
+
+
+@query(f"WITH {_KIN} SELECT child, parent FROM e")
 def inheritance(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.inheritance(_classes(spark, d))
+    return graphs.inheritance(_kin(spark, d))
 
 
-@query(f"{_CLASSES}, e AS (SELECT DISTINCT name AS child, parent FROM k WHERE parent IN (SELECT name FROM k)) SELECT DISTINCT parent AS name FROM e WHERE parent NOT IN (SELECT child FROM e)")
+@query(f"WITH {_KIN} FROM r")
 def inheritance_roots(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.roots(_classes(spark, d))
+    return graphs.roots(_kin(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {_KIN}, t AS (SELECT name, [name] AS path, 0 AS depth FROM r UNION ALL SELECT e.child, list_append(t.path, e.child), t.depth + 1 FROM t JOIN e ON e.parent = t.name) SELECT name, array_to_string(path, '/') AS path, depth FROM t QUALIFY row_number() OVER (PARTITION BY name ORDER BY path) = 1")
 def inheritance_tree(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.tree(_classes(spark, d))
+    return graphs.tree(_kin(spark, d)).withColumn("path", F.array_join("path", "/"))
+
+
+@query(f"WITH {_KIN} SELECT name, count(*) AS links FROM (SELECT child AS name FROM e UNION ALL SELECT parent FROM e) GROUP BY name ORDER BY links DESC, name LIMIT 50")
+def connected_classes(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.connected_classes(_kin(spark, d))
 
 
 def _supply(spark: SparkSession, d: str) -> DataFrame:
@@ -319,11 +336,6 @@ def degrees(spark: SparkSession, d: str) -> DataFrame:
     return graphs.degrees(_supply(spark, d))
 
 
-@query(f"WITH {_EDGES}, g AS (SELECT node, count(*) AS n FROM (SELECT caller AS node FROM e UNION ALL SELECT callee FROM e) GROUP BY node), t AS (SELECT node FROM g ORDER BY n DESC, node LIMIT 30) SELECT caller, callee FROM e WHERE caller IN (FROM t) AND callee IN (FROM t)")
-def strongest_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.strongest(_supply(spark, d))
-
-
 @query(f"WITH {_EDGES} SELECT caller, count(*) AS targets FROM e GROUP BY caller ORDER BY targets DESC, caller LIMIT 1")
 def busiest_node(spark: SparkSession, d: str) -> DataFrame:
     return graphs.busiest(_supply(spark, d))
@@ -338,15 +350,20 @@ def _steps(spark: SparkSession, d: str) -> DataFrame:
     return e.where("b is not null").distinct()
 
 
+@query(f"WITH {_STEPS}, g AS (SELECT node, count(*) AS n FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node), t AS (SELECT node FROM g ORDER BY n DESC, node LIMIT 30) SELECT a, b FROM e WHERE a IN (FROM t) AND b IN (FROM t)")
+def strongest_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.strongest(_steps(spark, d), 30, "a", "b")
+
+
 @query(f"WITH RECURSIVE {_STEPS}, r AS (SELECT a AS s, b AS t FROM e UNION SELECT r.s, e.b FROM r JOIN e ON r.t = e.a) SELECT e.a, e.b FROM e JOIN r ON r.s = e.b AND r.t = e.a")
 def cycle_edges(spark: SparkSession, d: str) -> DataFrame:
     return graphs.cycle_edges(_steps(spark, d), "a", "b")
 
 
-@query(f"WITH {_STEPS}, h1 AS (SELECT a AS start, b AS node, 1 AS hops FROM e), h2 AS (SELECT h1.start, e.b AS node, 2 AS hops FROM h1 JOIN e ON h1.node = e.a), h3 AS (SELECT h2.start, e.b AS node, 3 AS hops FROM h2 JOIN e ON h2.node = e.a) SELECT start, node, min(hops) AS hops FROM (FROM h1 UNION ALL FROM h2 UNION ALL FROM h3) GROUP BY start, node")
+@query(f"WITH RECURSIVE {_STEPS}, h AS (SELECT a AS start, b AS node, 1 AS hops FROM e UNION SELECT h.start, e.b, h.hops + 1 FROM h JOIN e ON h.node = e.a WHERE h.hops < 6) SELECT start, node, min(hops) AS hops FROM h GROUP BY start, node")
 def bounded_reach(spark: SparkSession, d: str) -> DataFrame:
     e = _steps(spark, d)
-    return graphs.reachable(e, e.select(F.col("a").alias("start")), 3, "a", "b")
+    return graphs.reachable(e, e.select(F.col("a").alias("start")), 6, "a", "b")
 
 
 @query()

@@ -53,27 +53,51 @@ def pages(spark: SparkSession, root: str) -> DataFrame:
     return t.select(p.alias("path"), text.title(F.col("value"), p).alias("title"), F.col("value").alias("content"))
 
 
-def git_log_text(repo: str, most: int | None = None) -> str:
-    """The log of a repository in the form ``commits`` reads; '' where there is none."""
-    args = ["git", "-C", repo, "log", "--pretty=%h|%H|%an|%aI|%s", "--name-only"] + ([f"--max-count={most}"] if most else [])
-    r = subprocess.run(args, capture_output=True, text=True)
-    return r.stdout if r.returncode == 0 else ""
+RECORD = "\x1e"  # starts each commit of a log
 
 
-def commits(lines: DataFrame) -> DataFrame:
-    """Commits of log lines (repo, at, line): repo, hash, full_hash, author, ts (zone dropped), message, file, one row per file or one with null (O-8).
+def _git(repo: str, *args: str) -> str | None:
+    r = subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True)
+    return r.stdout.strip() if r.returncode == 0 else None
 
-    A header is a line with four bars or more; the message keeps its own bars. Files belong to the header above.
+
+def git_remote(repo: str) -> str | None:
+    """The address of the remote ``origin``, null without one (O-12)."""
+    return _git(repo, "remote", "get-url", "origin") or None
+
+
+def git_branch(repo: str) -> str:
+    """The default branch (O-12): what the remote's HEAD names, else the branch checked out, else ``main``."""
+    head = _git(repo, "symbolic-ref", "--short", "refs/remotes/origin/HEAD")
+    here = _git(repo, "rev-parse", "--abbrev-ref", "HEAD")
+    return (head or "").removeprefix("origin/") or (here if here and here != "HEAD" else "main")
+
+
+def write_git_log(repo: str, path: str, most: int | None = None) -> bool:
+    """The log of a repository as a file that ``git_logs`` reads, written by git itself; False where there is none."""
+    args = ["git", "-C", repo, "log", f"--pretty=format:{RECORD}%h|%H|%an|%aI|%s", "--name-only"] + ([f"--max-count={most}"] if most else [])
+    with open(path, "wb") as f:
+        return subprocess.run(args, stdout=f, stderr=subprocess.DEVNULL).returncode == 0
+
+
+def git_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Commits of log files, one a repository, whose name is the repository's: see ``commits``."""
+    t = spark.read.option("lineSep", RECORD).text(path).where(F.trim("value") != "")
+    return commits(t.select(paths.stem(F.col("_metadata.file_name")).alias("repo"), F.col("value").alias("record")))
+
+
+def commits(records: DataFrame) -> DataFrame:
+    """Commits of log records (repo, record): repo, hash, full_hash, author, ts (zone dropped), message, file, one row per file or one with null (O-8).
+
+    A record is a header of five parts between bars, whose message keeps its own, and the files below it; others are left out.
     """
-    head = F.size(F.split("line", r"\|")) >= 5
-    w = Window.partitionBy("repo").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = lines.withColumn("head", head).withColumn("header", F.last(F.when(head, F.col("line")), ignorenulls=True).over(w)).where("header is not null")
-    p = F.split("header", r"\|", 5)
+    lines = F.split("record", "\n")
+    p = F.split(F.get(lines, F.lit(0)), r"\|", 5)
     at = lambda k: F.get(p, F.lit(k))
-    file = F.when(~F.col("head") & (F.trim("line") != ""), F.trim("line"))
-    x = x.select("repo", at(0).alias("hash"), at(1).alias("full_hash"), at(2).alias("author"), F.try_to_timestamp(F.substring(F.regexp_replace(at(3), "T", " "), 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"), at(4).alias("message"), file.alias("file"))
-    has = F.max(F.col("file").isNotNull()).over(Window.partitionBy("repo", "full_hash"))
-    return x.withColumn("has", has).where("file is not null or not has").drop("has").distinct()
+    files = F.array_distinct(F.filter(F.transform(F.slice(lines, 2, F.size(lines)), F.trim), lambda x: x != ""))
+    ts = F.try_to_timestamp(F.substring(F.regexp_replace(at(3), "T", " "), 1, 19), F.lit("yyyy-MM-dd HH:mm:ss"))
+    x = records.where(F.size(p) >= 5).select("repo", at(0).alias("hash"), at(1).alias("full_hash"), at(2).alias("author"), ts.alias("ts"), at(4).alias("message"), files.alias("files"))
+    return x.select("repo", "hash", "full_hash", "author", "ts", "message", F.explode_outer("files").alias("file")).distinct()
 
 
 def blame(lines: DataFrame) -> DataFrame:
@@ -84,7 +108,7 @@ def blame(lines: DataFrame) -> DataFrame:
     head = r"^([0-9a-f]{40}) \d+ (\d+)"
     w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = lines.withColumn("commit", F.last(F.nullif(F.regexp_extract("text", head, 1), F.lit("")), ignorenulls=True).over(w)).withColumn("line", F.last(F.nullif(F.regexp_extract("text", head, 2), F.lit("")), ignorenulls=True).over(w).cast("int"))
-    field = lambda k: F.max(F.when(F.col("text").startswith(k + " "), F.substring("text", len(k) + 2, 10_000)))
+    field = lambda k: F.max(F.when(F.col("text").startswith(k + " "), F.substring("text", len(k) + 2, 2**31 - 1)))
     about = x.groupBy("file", "commit").agg(field("author").alias("author"), field("author-mail").alias("email"), field("author-time").cast("bigint").alias("t"), field("summary").alias("summary"))
     at = x.where(F.col("text").startswith("\t")).select("file", "line", "commit")
     j = at.join(about, ["file", "commit"]).where("author is not null and t is not null")

@@ -227,6 +227,6 @@ def test_pages(spark):
     assert {r.path for r in pages.glossary_pages(c).collect()} == {"glossary/A.md", "glossary/F.md", "glossary/I.md"}
     assert "0 of 3 documented" in pages.coverage_page(c).first().content
     deps = spark.createDataFrame([("r", "flask", "*", False), ("r", "pytest", "1", True)], "repo string, name string, version string, is_dev boolean")
-    assert pages.dependency_page(deps).first().content == "# Dependencies\n\n- flask * (Web)\n- pytest 1 (Testing, development)\n"
+    assert pages.dependency_page(deps).first().content == "# Dependencies\n\n- flask * (Web Framework)\n- pytest 1 (Testing, development)\n"
     a = spark.createDataFrame([("x", "1")], "path string, content string")
     assert [tuple(r) for r in pages.assembled([a, a.selectExpr("path", "'2' AS content")]).collect()] == [("x", "1")]
