@@ -61,8 +61,8 @@ _CLASS["tsx"] = _CLASS["typescript"]
 CLASSES = {k: re.compile(v, re.M) for k, v in _CLASS.items()}
 FUNCTIONS = {k: re.compile(v, re.M) for k, v in _FUNCTION.items()}
 IMPORT = {
-    "javascript": re.compile(r"^\s*(?:import\b|export\b.*\bfrom\b|(?:const|let|var)\b.*\brequire\()", re.M), "go": re.compile(r"^import\s*\((?s:.*?)\)|^import\b", re.M), "java": re.compile(r"^import\b", re.M), "rust": re.compile(r"^\s*(?:pub\s+)?use\b", re.M), "c": re.compile(r"^\s*#\s*include\b", re.M),
-    "ruby": re.compile(r"^\s*require(?:_relative)?\b", re.M), "php": re.compile(r"^\s*use\s", re.M), "kotlin": re.compile(r"^import\b", re.M), "swift": re.compile(r"^import\b", re.M), "csharp": re.compile(r"^using\b", re.M),
+    "javascript": re.compile(r"^[ \t]*(?:import\b|export\b.*\bfrom\b|(?:const|let|var)\b.*\brequire\()", re.M), "go": re.compile(r"^import\s*\((?s:.*?)\)|^import\b", re.M), "java": re.compile(r"^import\b", re.M), "rust": re.compile(r"^[ \t]*(?:pub\s+)?use\b", re.M), "c": re.compile(r"^[ \t]*#[ \t]*include\b", re.M),
+    "ruby": re.compile(r"^[ \t]*require(?:_relative)?\b", re.M), "php": re.compile(r"^[ \t]*use\s", re.M), "kotlin": re.compile(r"^import\b", re.M), "swift": re.compile(r"^import\b", re.M), "csharp": re.compile(r"^using\b", re.M),
 }
 for _l, _as in (("typescript", "javascript"), ("tsx", "javascript"), ("cpp", "c")):
     IMPORT[_l] = IMPORT[_as]

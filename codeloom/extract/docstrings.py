@@ -8,8 +8,14 @@ an item names its type. Items start at the least indentation of their block; dee
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from codeloom.session import ship
+
 # Titles of sections, and what they hold.
 TITLES = {"args": "args", "arguments": "args", "parameters": "args", "returns": "returns", "return": "returns", "raises": "raises", "raise": "raises", "example": "", "examples": "", "note": "", "notes": "", "yields": ""}
 _GOOGLE_ITEM = re.compile(r"(?P<names>\*{0,2}\w+)\s*(?:\((?P<type>[^)]+)\))?\s*:(?P<rest>.*)", re.S)
@@ -88,3 +94,17 @@ def numpy(doc: str | None) -> dict:
 def parse(doc: str | None) -> dict:
     """By the style the docstring has; without rules under titles, Google's."""
     return _parsed(doc, bool(doc) and re.search(r"(?m)^\s*(?:Parameters|Returns|Raises|Yields)\s*\n\s*-{3,}", doc) is not None)
+
+
+def described(chunks: DataFrame) -> DataFrame:
+    """(id, description, args, returns) of docstrings (id, docstring), in Arrow batches; args: name -> description."""
+    ship(chunks.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.string()), ("description", pa.string()), ("args", pa.map_(pa.string(), pa.string())), ("returns", pa.string())])
+        for b in batches:
+            got = [parse(t) for t in b.column(1).to_pylist()]
+            rows = [(i, g["description"], [(n, a["description"]) for n, a in g["args"].items()], g["returns"]) for i, g in zip(b.column(0).to_pylist(), got)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return chunks.select("id", "docstring").mapInArrow(run, "id string, description string, args map<string,string>, returns string")

@@ -186,7 +186,7 @@ def code_blocks(markdown: Column, tag: str | None = None) -> Column:
 
 def segments(markdown: Column) -> Column:
     """text and is_code of the parts between fence lines of backticks or tildes (O-155)."""
-    parts = F.split(markdown, r"(?m)^[ \t]*(?:```|~~~)[^\n]*$\n?")
+    parts = F.split(markdown, r"(?md)^[ \t]*(?:```|~~~)[^\n]*$\n?")
     return F.transform(parts, lambda x, k: F.struct(x.alias("text"), (k % 2 == 1).alias("is_code")))
 
 

@@ -48,6 +48,14 @@ def evicted(cache: DataFrame, now: Column, max_entries: int, most: int = 100) ->
     return cache.join(expired(cache, now, most).select("id"), "id", "left_anti")
 
 
+def put(cache: DataFrame, answers: DataFrame, now: Column, ttl: int, max_temperature: float = MAX_TEMPERATURE) -> DataFrame:
+    """The cache with new answers, those of a high temperature left out (O-166). answers: id, system_prompt, prompt, response, temperature, model_name, vector."""
+    a = answers.where(F.coalesce("temperature", F.lit(0.0)) <= max_temperature)
+    own = {"exact_hash": prompt_hash(F.col("system_prompt"), F.col("prompt")), "created_at": now, "hit_count": F.lit(0), "ttl_seconds": F.lit(ttl)}
+    types = dict(cache.dtypes)
+    return cache.unionByName(a.select(*[(own.get(c, F.col(c) if c in a.columns else F.lit(None))).cast(types[c]).alias(c) for c in cache.columns]))
+
+
 def usage(cache: DataFrame, now: Column) -> DataFrame:
     """Entries, valid ones and hits by model."""
     return cache.groupBy("model_name").agg(F.count("*").alias("entries"), F.count_if(valid(F.col("created_at"), F.col("ttl_seconds"), now)).alias("valid"), F.sum("hit_count").alias("hits"))

@@ -41,7 +41,7 @@ def examples(entities: DataFrame, tests: DataFrame, per_file: int = 2, most: int
     """Test bodies that use an entity: at most two of a test file, equal code once, five in all (O-62, O-87). entities: name; tests: test_file, test_name, code."""
     t = tests.where(F.length("code") >= 10).select("test_file", "test_name", "code")
     words = t.select("*", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("name"))
-    j = entities.select("name").distinct().join(words, "name").dropDuplicates(["name", "code"])
+    j = entities.select("name").distinct().join(words, "name").groupBy("name", "code").agg(F.min(F.struct("test_file", "test_name")).alias("x")).select("name", "code", "x.*")
     j = j.withColumn("k", F.row_number().over(Window.partitionBy("name", "test_file").orderBy("test_name", "code"))).where(F.col("k") <= per_file)
     return j.withColumn("at", F.row_number().over(Window.partitionBy("name").orderBy("test_file", "test_name"))).where(F.col("at") <= most).drop("k")
 

@@ -38,15 +38,17 @@ def busiest(edges: DataFrame, source: str = "caller", target: str = "callee") ->
 
 def reachable(edges: DataFrame, starts: DataFrame, hops: int, source: str = "caller", target: str = "callee") -> DataFrame:
     """(start, node, hops) of all nodes within some hops of each start, by the shortest way; the start itself only over a cycle (O-129). ``starts``: column start."""
-    e = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
+    e = written(edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct(), "steps")
     front = starts.select("start").distinct().withColumn("node", F.col("start"))
     seen = None
     for k in range(1, hops + 1):
         step = front.join(e, "node").select("start", F.col("next").alias("node")).distinct()
         if seen is not None:
             step = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        step = step.withColumn("hops", F.lit(k))
+        step = written(step.withColumn("hops", F.lit(k)), "reached")
         seen = step if seen is None else seen.unionByName(step)
+        if not step.limit(1).count():
+            break
         front = step.select("start", "node")
     return seen
 

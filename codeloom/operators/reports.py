@@ -65,6 +65,12 @@ def registered(chunks: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
     return chunks.where(F.col("chunk_type").isin("class", "function") & ok).select("name", F.col("chunk_type").alias("type"), "file_path", text.camel_spaced(F.col("name")).alias("alias"))
 
 
+def by_alias(mentions: DataFrame, registry: DataFrame) -> DataFrame:
+    """The entity that each spelled-out name stands for: alias, name, type, file_path; of several the smallest by file and name (O-198). mentions: alias."""
+    one = registry.where("alias is not null").groupBy("alias").agg(F.min(F.struct("file_path", "name", "type")).alias("x"))
+    return mentions.select("alias").distinct().join(one, "alias").select("alias", "x.name", "x.type", "x.file_path")
+
+
 def language_counts(files: DataFrame) -> DataFrame:
     """Files by known language, most first (O-88, O-97)."""
     return files.where(F.col("language").isNotNull()).groupBy("language").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "language")

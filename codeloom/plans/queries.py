@@ -263,14 +263,6 @@ def module_files(spark: SparkSession, d: str) -> DataFrame:
     return imports.module_files(_imports(spark, d, "id"), files(spark, d))
 
 
-@query()
-def see_also(spark: SparkSession, d: str) -> DataFrame:
-    m = _imports(spark, d, "file_path", "file_id", "repo")
-    shared = imports.shared(m.withColumn("module", F.concat_ws(":", "repo", "module")).withColumn("p", F.concat_ws("/", "repo", "file_path")), "p", "module")
-    resolved = imports.module_files(m, files(spark, d))
-    return imports.see_also(imports.relations(m, resolved), shared)
-
-
 # Graphs
 
 _CLASSES = rf"WITH {CHUNKS}, k AS (SELECT name, repo || ':' || file_path AS file_path, nullif(regexp_extract(content, '^(?:export |public |abstract )*class\s+\w+\s*(?:extends\s+|<\s*|\()(\w+)', 1), '') AS parent FROM chunks WHERE chunk_type = 'class' AND name IS NOT NULL)"
@@ -555,17 +547,6 @@ def heading_hits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(h).cast("bigint").alias("hits"))
 
 
-@query()
-def search_rank(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null").select(F.concat_ws("#", "path", "doc_id").alias("path"), F.col("text").alias("content"))
-    return ranking.search_pages(ranking.page_index(docs), "anchor").select("path", "title", "score")
-
-
-@query()
-def entity_index(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.entity_index(chunks(spark, d)).withColumn("keywords", F.array_join("keywords", " "))
-
-
 # Pages
 
 
@@ -579,17 +560,6 @@ def file_pages(spark: SparkSession, d: str) -> DataFrame:
     return pages.file_pages(extract.chunk_files(parsed(spark, d).withColumn("file_path", F.concat("repo", F.lit("/"), "file_path"))))
 
 
-@query()
-def glossary_pages(spark: SparkSession, d: str) -> DataFrame:
-    return pages.glossary_pages(chunks(spark, d))
-
-
-@query()
-def wiki_pages(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).withColumn("file_path", F.concat("repo", F.lit("/"), "file_path"))
-    return pages.assembled([pages.coverage_page(c), pages.changelog_pages(_commits(spark, d)), pages.files_index(files(spark, d)), pages.glossary_pages(c)])
-
-
 @query(f"WITH {CHUNKS}, a AS (SELECT id, list_distinct(list_concat(regexp_extract_all(content, '(?m)^\\s{{4}}([A-Za-z_]\\w*)\\s*:\\s*\\w', 1), regexp_extract_all(content, 'self\\.([A-Za-z_]\\w*)\\s*(?::[^=\\n]+)?=[^=]', 1))) AS n FROM chunks WHERE chunk_type = 'class' AND language = 'python') SELECT id, CAST(least(10, len(list_filter(n, lambda x: NOT starts_with(x, '__')))) AS INT) AS attributes FROM a")
 def class_attributes(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).where("chunk_type = 'class' and language = 'python'").select("id", F.size(text.class_attributes(F.col("content"))).alias("attributes"))
@@ -670,11 +640,6 @@ def page_sections(spark: SparkSession, d: str) -> DataFrame:
     return toc.sections(table(spark, d, "documents").where("path is not null").select("path").distinct())
 
 
-@query()
-def contents(spark: SparkSession, d: str) -> DataFrame:
-    return toc.numbered(table(spark, d, "documents").where("path is not null").select("path").distinct())
-
-
 # Events
 
 

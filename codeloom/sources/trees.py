@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import subprocess
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from codeloom.functions import paths, text
+from codeloom.session import ship, written
 
-MAX_SIZE = 1 << 20
+MAX_SIZE, BATCH_BYTES, WALKED = 1 << 20, 16 << 20, 2000
 EXCLUDED = ("node_modules/**", "venv/**", ".venv/**", "__pycache__/**", ".git/**", "dist/**", "build/**", "*.min.js", "*.lock")
 
 
@@ -33,24 +37,80 @@ def excluded(path: Column, patterns: Sequence[str] = EXCLUDED) -> Column:
     return hit
 
 
+def listed(spark: SparkSession, root: str, patterns: Sequence[str] = EXCLUDED) -> DataFrame:
+    """Files below a root that all executors see (a path, or a URI of a file system Arrow knows): path, size_bytes, last_modified.
+
+    Tasks walk down from the directories they get; what one leaves after ``WALKED`` entries is shared out anew. Excluded
+    directories are not entered. Names may start with ``_``, which Spark's own readers hide.
+    """
+    ship(spark)
+    uri, skipped = root.removeprefix("file://").rstrip("/") or "/", {p[:-3] for p in patterns if p.endswith("/**")}
+    hidden = bool(patterns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pa_fs.FileSystem.from_uri(uri)
+        for b in batches:
+            todo, rows, seen = b.column(0).to_pylist(), [], 0
+            while todo and seen < WALKED:
+                d = todo.pop()
+                for x in fs.get_file_info(pa_fs.FileSelector(f"{base}/{d}" if d else base, recursive=False, allow_not_found=True)):
+                    path = f"{d}/{x.base_name}" if d else x.base_name
+                    seen += 1
+                    if x.type == pa_fs.FileType.File:
+                        rows.append((path, False, x.size or 0, x.mtime))
+                    elif x.type == pa_fs.FileType.Directory and x.base_name not in skipped and not (hidden and x.base_name.startswith(".")):
+                        todo.append(path)
+            cols = list(zip(*rows, *((d, True, 0, None) for d in todo))) if rows or todo else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", "UTC")))], names=["path", "is_dir", "size_bytes", "last_modified"])
+
+    level, out = spark.createDataFrame([("",)], "dir string"), None
+    while True:
+        found = written(level.mapInArrow(run, "path string, is_dir boolean, size_bytes bigint, last_modified timestamp"), "listing")
+        files = found.where("not is_dir").drop("is_dir")
+        out = files if out is None else out.unionByName(files)
+        level = found.where("is_dir").select(F.col("path").alias("dir"))
+        n = level.count()
+        if not n:
+            return out
+        level = level.repartition(max(1, min(n, 10 * spark.sparkContext.defaultParallelism)))
+
+
+def with_contents(files: DataFrame, root: str) -> DataFrame:
+    """Listed files with their bytes as ``content``, in Arrow batches of some MB, spread over all cores."""
+    spark = ship(files.sparkSession)
+    uri = root.removeprefix("file://").rstrip("/") or "/"
+    names = files.columns
+    at, schema = names.index("path"), StructType([*files.schema.fields, StructField("content", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pa_fs.FileSystem.from_uri(uri)
+        for b in batches:
+            start, size, got = 0, 0, []
+            for k, p in enumerate(b.column(at).to_pylist()):
+                with fs.open_input_stream(f"{base}/{p}") as f:
+                    got.append(f.read())
+                size += len(got[-1])
+                if size > BATCH_BYTES or k == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*b.slice(start, len(got)).columns, pa.array(got, pa.binary())], names=[*names, "content"])
+                    start, size, got = k + 1, 0, []
+
+    return files.repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(run, schema)
+
+
 def scan(spark: SparkSession, root: str, patterns: Sequence[str] = EXCLUDED, languages: Sequence[str] | None = None, max_size: int = MAX_SIZE) -> DataFrame:
     """Files of a tree with text and hash: path, language, size_bytes, last_modified, hash, source_text. Size, name and directory are judged before contents are read."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1]
-    f = f.withColumn("relative", F.regexp_replace("path", rf"^(?:file:/*)?/?\Q{base.lstrip('/')}\E/", ""))
-    lang = paths.language(F.col("relative"))
-    f = f.where((F.col("length") <= max_size) & lang.isNotNull() & ~excluded(F.col("relative"), patterns))
+    lang = paths.language(F.col("path"))
+    f = listed(spark, root, patterns).where((F.col("size_bytes") <= max_size) & lang.isNotNull() & ~excluded(F.col("path"), patterns))
     if languages is not None:
         f = f.where(lang.isin(*languages))
-    return f.select(F.col("relative").alias("path"), lang.alias("language"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified"), F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("source_text"))
+    f = with_contents(f.select("path", lang.alias("language"), "size_bytes", "last_modified"), root)
+    return f.select("path", "language", "size_bytes", "last_modified", F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("source_text"))
 
 
 def pages(spark: SparkSession, root: str) -> DataFrame:
     """Markdown pages of a tree: path, title, content (O-16, O-17)."""
-    t = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root).withColumn("full", F.col("_metadata.file_path"))
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    p = F.regexp_replace("full", rf"^(?:file:/*)?/?\Q{base}\E/", "")
-    return t.select(p.alias("path"), text.title(F.col("value"), p).alias("title"), F.col("value").alias("content"))
+    t = with_contents(listed(spark, root, ()).where("path like '%.md'").select("path"), root).select("path", F.decode("content", "UTF-8").alias("content"))
+    return t.select("path", text.title(F.col("content"), F.col("path")).alias("title"), "content")
 
 
 RECORD = "\x1e"  # starts each commit of a log

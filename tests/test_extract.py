@@ -108,8 +108,8 @@ def test_manifests(spark):
 
 
 def test_logs(spark):
-    log = "a1|aa11|Ann|2025-01-02T03:04:05+02:00|fix | pipes\n\nsrc/a.py\nsrc/b.py\n\nb2|bb22|Bob|bad|no files\n"
-    df = spark.createDataFrame([("r", k, x) for k, x in enumerate(log.split("\n"))], "repo string, at int, line string")
+    log = "\x1ea1|aa11|Ann|2025-01-02T03:04:05+02:00|fix | pipes\nsrc/a.py\nsrc/b.py\n\n\x1eb2|bb22|Bob|bad|no files\n\x1eno header\n"
+    df = spark.createDataFrame([("r", x) for x in log.split("\x1e")], "repo string, record string")
     got = sorted((r.hash, r.message, r.file or "") for r in trees.commits(df).collect())
     assert got == [("a1", "fix | pipes", "src/a.py"), ("a1", "fix | pipes", "src/b.py"), ("b2", "no files", "")]
     assert trees.commits(df).where("hash = 'a1'").first().ts == datetime(2025, 1, 2, 3, 4, 5)
@@ -119,6 +119,36 @@ def test_logs(spark):
     assert [(r.line, r.author, r.email) for r in trees.blame(b).orderBy("line").collect()] == [(1, "Ann", "a@x"), (2, "Ann", "a@x")]
 
 
+def test_git(spark, tmp_path):
+    import subprocess
+
+    repo, logs = tmp_path / "r", tmp_path / "logs"
+    repo.mkdir()
+    logs.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=Ann", "-c", "user.email=a@x", *a], check=True, capture_output=True)
+    git("init", "-b", "trunk")
+    assert not trees.write_git_log(str(tmp_path / "none"), str(logs / "none.log"))
+    for k in range(3):
+        (repo / f"f{k}.py").write_text(f"x = {k}\n")
+        git("add", ".")
+        git("commit", "-m", f"add | {k}")
+    assert trees.write_git_log(str(repo), str(logs / "r.log"))
+    got = sorted((r.repo, r.author, r.message, r.file) for r in trees.git_logs(spark, str(logs)).collect())
+    assert got == [("r", "Ann", f"add | {k}", f"f{k}.py") for k in range(3)]
+    assert trees.git_remote(str(repo)) is None and trees.git_branch(str(repo)) == "trunk" and trees.git_branch(str(tmp_path / "none")) == "main"
+    git("remote", "add", "origin", "https://h.example/o/r.git")
+    assert trees.git_remote(str(repo)) == "https://h.example/o/r.git"
+
+
+def test_scan_of_underscored_names(spark, tmp_path):
+    for p in ("pkg/__init__.py", "pkg/_in/a.py", "node_modules/b.js", "pkg/empty.py", ".git/c.py", "pkg/note.txt"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("" if "empty" in p else "x = 1\n")
+    got = {r.path: r.source_text for r in trees.scan(spark, str(tmp_path)).collect()}
+    assert got == {"pkg/__init__.py": "x = 1\n", "pkg/_in/a.py": "x = 1\n", "pkg/empty.py": ""}
+    assert {r.path for r in trees.listed(spark, f"file://{tmp_path}").collect()} == set(got) | {"pkg/note.txt"}
+
+
 def test_engine(spark, tmp_path):
     src = tmp_path / "src"
     (src / "pkg" / "node_modules").mkdir(parents=True)

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from codeloom.plans.queries import ORACLES, QUERIES
+from codeloom.plans.catalog import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
