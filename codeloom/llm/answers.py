@@ -27,7 +27,7 @@ CONTAINED, COVERED = 0.8, 0.8
 _TOKEN = re.compile(r"[^\W_]+(?:_[^\W_]+)*|\d+")
 _INVISIBLE = re.compile("[​‌‍⁠﻿­]")
 # Responses that say nothing.
-_NOTHING = {"", "none", "null", "nil", "nan", "n/a", "na", "undefined", "no answer", "no response", "empty", "no output", "not available", "blank", "tbd", "todo"}
+NOTHING = {"", "none", "null", "nil", "nan", "n/a", "na", "undefined", "no answer", "no response", "empty", "no output", "not available", "blank", "tbd", "todo"}
 _FRAME = re.compile(r"^(?:you (?:asked|said|wrote)|(?:the |your )?(?:question|prompt|query|request|input)(?: (?:was|is))?|q|user|sie fragten|frage|ihre frage|vous avez demandé|votre question|usted preguntó|pregunta|su pregunta)\s*[:\-]\s*", re.I)
 
 # Openings by which an answer is declined; words in order, with a few others between them.
@@ -95,7 +95,7 @@ def bare(response: str | None) -> str:
 
 def empty(text: str) -> bool:
     core = re.sub(r"^[\s`*_\"'()\[\]{}<>.\-–—?!:;,…#|/\\=~]+|[\s`*_\"'()\[\]{}<>.\-–—?!:;,…#|/\\=~]+$", "", text)
-    return core.lower() in _NOTHING
+    return core.lower() in NOTHING
 
 
 def copied(prompt: str | None, text: str) -> bool:

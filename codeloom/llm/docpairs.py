@@ -3,8 +3,9 @@
 For each language only islands are parsed: documentation comments, annotations, signatures and balanced bodies. All else
 is water: literals and comments are blanked out first, length for length, so that no island is found in them, and
 whatever no island starts at is skipped. A comment documents the function whose signature or annotations it touches; in
-Python it is the literal that opens the body. The ``docstring`` of a function or method chunk counts for its first
-function.
+Python it is the literal that opens the body. Where that describes nothing, the ``docstring`` of a function or method
+chunk counts for its first function: such pairs are told apart by ``origin`` (comment, docstring, or chunk where no island
+was found at all and name and text are those of the chunk).
 
 A description is what is left after comment marks, tags, tool directives, notices, placeholders, rulers and disabled
 code are taken away; it must have words of its own, not only the function's name in other words. Null and empty contents
@@ -210,31 +211,31 @@ def description(doc: str | None, name: str) -> str | None:
     return None
 
 
-def pairs(content: str, language: str, chunk_type: str, docstring: str | None = None, name: str | None = None) -> Iterator[tuple[str, str, str]]:
-    """(name, description, code) of each documented function of a chunk."""
+def pairs(content: str, language: str, chunk_type: str, docstring: str | None = None, name: str | None = None) -> Iterator[tuple[str, str, str, str]]:
+    """(name, description, code, origin) of each documented function of a chunk."""
     first = True
     for fn, doc, a, b in islands(content, language):
-        got = description(doc, fn)
+        got, origin = description(doc, fn), "comment"
         if first and chunk_type != "class" and not got:
-            got = description(docstring, fn)
+            got, origin = description(docstring, fn), "docstring"
         first = False
         if got:
-            yield fn, got, content[a:b].strip("\n")
+            yield fn, got, content[a:b].strip("\n"), origin
     if first and chunk_type != "class" and name and (got := description(docstring, name)):
-        yield name, got, content
+        yield name, got, content, "chunk"
 
 
 def _rows(batch: dict[str, list]) -> Iterable[tuple]:
     for i, lang, kind, name, doc, text in zip(*(batch[c] for c in ("id", "language", "chunk_type", "name", "docstring", "content"))):
-        for fn, got, code in pairs(text, lang, kind, doc, name):
-            yield i, fn, got, code
+        for pair in pairs(text, lang, kind, doc, name):
+            yield i, *pair
 
 
 def documented(chunks: DataFrame) -> DataFrame:
-    """Code and description: id, name, description, code; a function that a chunk defines twice has its rows twice."""
+    """Code and description: id, name, description, code, origin; a function that a chunk defines twice has its rows twice."""
     lang = F.coalesce(F.lower("language"), paths.language("file_path"))
     c = chunks.where(F.col("chunk_type").isin("function", "method", "class") & F.col("content").isNotNull() & F.col("id").isNotNull() & lang.isin(*ISLANDS))
-    return rows_out(c.select("id", lang.alias("language"), "chunk_type", "name", "docstring", "content"), _rows, "id string, name string, description string, code string", scan=True)
+    return rows_out(c.select("id", lang.alias("language"), "chunk_type", "name", "docstring", "content"), _rows, "id string, name string, description string, code string, origin string", scan=True)
 
 
 def names(chunks: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from codeloom.session import ship, written
 
 SAMPLE, COARSE, LEVELS, BEAM, PROBES = 8192, 6, 14, 4, 6
-BLOCK, RERANK, QUERY_BLOCK = 2048, 300, 512
+BLOCK, RERANK, QUERY_BLOCK, SCANNED = 2048, 300, 512, 16
 MARGIN, FINE_MARGIN = 0.35, 0.18
 HOT_ROWS = 100_000
 WIDE_BLOCK, SLAB, STRIPES, ROUNDING = 12_288, 1024, 64, 1e-5
@@ -437,9 +437,9 @@ def search(items: DataFrame, queries: DataFrame, k: int = 5, key: str = "id", ve
     model = sc.broadcast(books)
     found = None
     todo = [r.block for r in wanted.select("block").distinct().collect()]  # one number per QUERY_BLOCK queries
-    groups = [todo[i : i + 64] for i in range(0, len(todo), 64)]
+    groups = [todo[i : i + SCANNED] for i in range(0, len(todo), SCANNED)]
     for g in groups:
-        rows = wanted.where(F.col("block").isin(g)).select("number", "vector").toPandas()  # at most 64 x QUERY_BLOCK vectors
+        rows = wanted.where(F.col("block").isin(g)).select("number", "vector").toPandas()  # at most SCANNED x QUERY_BLOCK vectors
         q = np.stack(rows.vector.to_numpy()).astype(np.float64)
         q = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32)
         block = sc.broadcast((rows.number.to_numpy(), q))
@@ -458,23 +458,29 @@ def search(items: DataFrame, queries: DataFrame, k: int = 5, key: str = "id", ve
 
 
 def _scan(block, model, rerank: int):
+    """The best ``rerank`` of each query by lookup, among the rows of a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, q = block.value
         levels, size, _ = model.value.words.shape
         tables = q @ model.value.flat.T  # of each query with every word
+        best = np.full((len(q), rerank), -np.inf, dtype=np.float32)
+        which = np.zeros((len(q), rerank), dtype=np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
             codes = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(-1, levels).astype(np.int64)
             norm, number = np.maximum(1e-6, np.linalg.norm(model.value.sums(codes), axis=1)), np.asarray(b.column(0))
             codes += np.arange(levels) * size
-            one, other, score = [], [], []
             for i in range(len(q)):
-                s = tables[i][codes].sum(1) / norm
-                at = np.argpartition(-s, rerank)[:rerank] if len(s) > rerank else np.arange(len(s))
-                one.append(np.full(len(at), numbers[i]))
-                other.append(number[at])
-                score.append(s[at])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(other)), pa.array(np.concatenate(score).astype(np.float32))], names=["one", "other", "score"])
+                s = (tables[i][codes].sum(1) / norm).astype(np.float32)
+                at = np.flatnonzero(s > best[i].min())
+                if not len(at):
+                    continue
+                s, n = np.concatenate([best[i], s[at]]), np.concatenate([which[i], number[at]])
+                keep = np.argpartition(-s, rerank - 1)[:rerank]
+                best[i], which[i] = s[keep], n[keep]
+        row, col = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[row]), pa.array(which[row, col]), pa.array(best[row, col])], names=["one", "other", "score"])
 
     return run

@@ -19,7 +19,7 @@ CASES["typescript"] = CASES["javascript"].replace("async f(a, { b })", "private
 def test_islands(lang):
     names = [n for n, _, _, _ in docpairs.islands(CASES[lang], lang)]
     assert names == ["f", "h", "k"]
-    got = {n: (d, c) for n, d, c in docpairs.pairs(CASES[lang], lang, "class")}
+    got = {n: (d, c) for n, d, c, _ in docpairs.pairs(CASES[lang], lang, "class")}
     assert set(got) == {"f", "k"} and all(WORDS in d for d, _ in got.values())
 
 

@@ -7,6 +7,12 @@ import pytest
 
 from codeloom.llm.queries import ORACLES, QUERIES
 
+
+
+def plain(v):
+    return "" if v is None else f"{float(v):.6g}" if isinstance(v, (int, float)) else str(v)
+
+
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 FOUND = {"p1_found": {"file_id"}, "p2_found": {"id", "name"}, "p3_found": {"id", "line"}, "p4_found": {"id_1", "id_2"}, "p5_found": {"id", "defect"}, "p6_found": {"file_id"}, "p7_found": {"id"}, "p8_found": {"doc_id"}, "p9_found": {"mix_name", "source"}, "p10_found": {"doc_id"}}
@@ -24,4 +30,5 @@ def test_query(spark, name):
             con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
         r = con.execute(ORACLES[name])
         names = [x[0] for x in r.description]
-        assert sorted(rows) == sorted(tuple(dict(zip(names, x))[c] for c in sorted(names)) for x in r.fetchall())
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(tuple(map(plain, x)) for x in rows) == sorted(tuple(plain(dict(zip(names, x))[c]) for c in sorted(names)) for x in r.fetchall())
