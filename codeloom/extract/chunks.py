@@ -30,19 +30,21 @@ SCRIPT_CALLS = {"setTimeout", "setInterval", "clearTimeout", "clearInterval", "f
 
 _NAME = r"[A-Za-z_$][\w$]*"
 _CLASS = {
-    "javascript": r"^[ \t]*(?:export\s+(?:default\s+)?)?class\s+(?P<n>\w+)(?:\s+extends\s+(?P<p>[\w.]+))?",
-    "typescript": r"^[ \t]*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?(?:class|interface)\s+(?P<n>\w+)[^{\n]*?(?:\s+extends\s+(?P<p>[\w., ]+?))?(?:\s+implements\s+(?P<q>[\w., ]+?))?\s*(?=[{\n])",
-    "java": r"^[ \t]*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?:class|interface|enum)\s+(?P<n>\w+)[^{\n]*?(?:\s+extends\s+(?P<p>[\w., ]+?))?(?:\s+implements\s+(?P<q>[\w., ]+?))?\s*(?=[{\n])",
-    "csharp": r"^[ \t]*(?:(?:public|private|protected|internal|static|sealed|abstract|partial)\s+)*(?:class|interface|struct|record)\s+(?P<n>\w+)(?:\s*:\s*(?P<p>[\w., ]+))?",
+    "javascript": r"^[ \t]*(?:export\s+(?:default\s+)?)?class\s+(?P<n>\w+)",
+    "typescript": r"^[ \t]*(?:export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:class|interface)\s+(?P<n>\w+)",
+    "java": r"^[ \t]*(?:(?:public|private|protected|static|final|abstract|sealed|non-sealed)\s+)*(?:class|interface|enum|record)\s+(?P<n>\w+)",
+    "csharp": r"^[ \t]*(?:(?:public|private|protected|internal|static|sealed|abstract|partial)\s+)*(?:class|interface|struct|enum|record)\s+(?P<n>\w+)",
     "go": r"^type\s+(?P<n>\w+)\s+(?:struct|interface)\b",
-    "rust": r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(?P<n>\w+)(?:\s*:\s*(?P<p>[\w+ ]+))?",
+    "rust": r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(?P<n>\w+)",
     "c": r"^(?:typedef\s+)?(?:struct|enum|union)\s+(?P<n>\w+)\s*(?=\{)",
-    "cpp": r"^[ \t]*(?:class|struct)\s+(?P<n>\w+)(?:\s*(?:final\s*)?:\s*(?P<p>[\w:, ]+))?\s*(?=\{)",
-    "ruby": r"^[ \t]*(?:class|module)\s+(?P<n>[\w:]+)(?:\s*<\s*(?P<p>[\w:]+))?",
-    "php": r"^[ \t]*(?:(?:abstract|final)\s+)?(?:class|interface|trait)\s+(?P<n>\w+)(?:\s+extends\s+(?P<p>\w+))?(?:\s+implements\s+(?P<q>[\w, \\]+))?",
-    "kotlin": r"^[ \t]*(?:(?:public|private|internal|open|abstract|data|sealed)\s+)*(?:class|interface|object)\s+(?P<n>\w+)[^{:\n]*(?::\s*(?P<p>[\w<>(), ]+))?",
-    "swift": r"^[ \t]*(?:(?:public|private|internal|open|final)\s+)*(?:class|struct|protocol|enum|extension)\s+(?P<n>\w+)(?:\s*:\s*(?P<p>[\w, ]+))?",
+    "cpp": r"^[ \t]*(?:class|struct)\s+(?P<n>\w+)(?=\s*(?:final\b\s*)?[:{])",
+    "ruby": r"^[ \t]*(?:class|module)\s+(?P<n>[\w:]+)",
+    "php": r"^[ \t]*(?:(?:abstract|final|readonly)\s+)*(?:class|interface|trait)\s+(?P<n>\w+)",
+    "kotlin": r"^[ \t]*(?:(?:public|private|internal|open|abstract|data|sealed|inner|enum)\s+)*(?:class|interface|object)\s+(?P<n>\w+)",
+    "swift": r"^[ \t]*(?:(?:public|private|internal|open|final|indirect)\s+)*(?:class|struct|protocol|enum|extension)\s+(?P<n>\w+)",
 }
+# How the parents of a class are introduced: by words before lists of names, by a colon, or by a sign.
+_WORDED, _COLONED = ("javascript", "typescript", "tsx", "java", "php"), ("cpp", "csharp", "kotlin", "swift")
 _BLOCKED = r"(?!(?:if|for|while|switch|catch|return|with|else|do|new|throw|await|synchronized|try|sizeof|match|loop)\b)"
 _FUNCTION = {
     "javascript": rf"^[ \t]*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*(?P<a>{_NAME})|^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<b>{_NAME})\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|\([^()\n]*\)\s*(?::[^=\n]+)?=>)|^[ \t]+(?:(?:public|private|protected|static|async|get|set)\s+)*{_BLOCKED}(?P<c>{_NAME})\s*\([^(){{}};\n]*\)\s*(?::[^{{}};\n]+)?\{{",
@@ -113,9 +115,28 @@ def _comment(text: str, start: int, language: str) -> str | None:
     return "\n".join(reversed(out)).strip() or None
 
 
-def _parents(m: re.Match) -> list[str]:
-    names = ",".join(v for k, v in m.groupdict().items() if k in ("p", "q") and v)
-    return [x for part in re.split(r"[,+]", names) if (x := re.sub(r"[<(].*", "", part).strip().split(" ")[-1])]
+def parents_of(language: str, head: str) -> list[str]:
+    """Parent classes named in the head of a class, from behind its name up to its body (O-41).
+
+    What stands in brackets of any kind (type arguments, arguments of constructors) is taken out first.
+    """
+    while (bare := re.sub(r"<[^<>]*>|\([^()]*\)|\[[^\[\]]*\]", "", head)) != head:
+        head = bare
+    head = re.split(r"\bwhere\b|\{|;", head)[0]
+    if language in _WORDED:
+        lists = re.findall(r"\b(?:extends|implements)\s+(.*?)(?=\b(?:extends|implements|permits)\b|$)", head, re.S)
+    elif language in _COLONED:
+        lists = re.findall(r"(?<!:):(?!:)(.*)", head, re.S)[:1]
+    else:
+        lists = re.findall(r"^\s*<\s*([\w:]+)", head) if language == "ruby" else []
+    names = (re.sub(r"\b(?:public|private|protected|virtual|by)\b", "", x).split() for some in lists for x in some.split(","))
+    return [(n[0].rsplit("::", 1)[-1] if language == "cpp" else n[0]) for n in names if n]
+
+
+def _parents(code: str, end: int, language: str) -> list[str]:
+    """As ``parents_of``, for the head that starts at ``end`` of blanked code."""
+    stop = re.compile(r"\n" if language in ("ruby", "kotlin", "go", "rust") else r"[{;]").search(code, end)
+    return parents_of(language, code[end : stop.start() if stop else len(code)])
 
 
 def _base(kind: str, path: str, language: str, key: str, line: int, name: str | None, content: str, start: int, end: int, doc: str | None, parent: str | None, **meta) -> dict:
@@ -188,11 +209,11 @@ def chunks_of(path: str, source: str, split: int = SPLIT_LINES) -> Iterator[dict
         if b - a + 1 > split:
             brace = code.find("\n" if language == "ruby" else "{", start)
             text = source[start : brace if brace > 0 else end].rstrip() + "\n    # Methods: " + ", ".join(f[2] for f in own)
-            yield _base("class", path, language, f"class_{m['n']}", a - 1, m["n"], text, a, b, doc, None, is_summary=True, method_count=len(own), parent_classes=_parents(m))
+            yield _base("class", path, language, f"class_{m['n']}", a - 1, m["n"], text, a, b, doc, None, is_summary=True, method_count=len(own), parent_classes=_parents(code, m.end(), language))
             for f in own:
                 yield _base("method", path, language, f"{m['n']}.{f[2]}", line_of(f[0]) - 1, f[2], source[f[0] : f[1]], line_of(f[0]), line_of(f[1]), _comment(source, f[0], language), m["n"])
         else:
-            yield _base("class", path, language, f"class_{m['n']}", a - 1, m["n"], source[start:end], a, b, doc, None, line_count=b - a + 1, parent_classes=_parents(m))
+            yield _base("class", path, language, f"class_{m['n']}", a - 1, m["n"], source[start:end], a, b, doc, None, line_count=b - a + 1, parent_classes=_parents(code, m.end(), language))
     for start, end, name, parent in functions:
         if not any(a < start < b for a, b, _ in spans):
             kind = "method" if parent else "function"

@@ -444,6 +444,28 @@ def wiki_pages(spark: SparkSession, d: str) -> DataFrame:
     return out.select("path", F.sha2("content", 256).alias("hash"))
 
 
+@query(f"WITH RECURSIVE {queries._KIN}, t AS (SELECT name, [name] AS path, 0 AS depth FROM r UNION ALL SELECT e.child, list_append(t.path, e.child), t.depth + 1 FROM t JOIN e ON e.parent = t.name), w AS (FROM t QUALIFY row_number() OVER (PARTITION BY name ORDER BY path) = 1) SELECT 'inheritance/' || path[1] || '.md' AS path, sha256('# Inheritance: ' || path[1] || chr(10) || chr(10) || string_agg(repeat('  ', depth) || '- `' || name || '`', chr(10) ORDER BY w.path) || chr(10)) AS hash FROM w GROUP BY path[1]")
+def inheritance_pages(spark: SparkSession, d: str) -> DataFrame:
+    """O-132, O-197."""
+    return pages.inheritance_pages(queries._kin(spark, d)).select("path", F.sha2("content", 256).alias("hash"))
+
+
+@query(
+    f"WITH s AS ({queries._STALE}), t AS (SELECT page, CASE WHEN newest > generated_at THEN date_diff('day', generated_at, newest) END AS d, coalesce(newest > generated_at AND date_diff('day', generated_at, newest) >= 30, false) AS stale FROM s), w AS (SELECT page, d FROM t WHERE stale ORDER BY d DESC, page LIMIT 20) SELECT 'freshness.md' AS path, '# Freshness' || chr(10) || chr(10) || (SELECT count(*) FROM t WHERE stale) || ' of ' || (SELECT count(*) FROM t) || ' pages are behind their sources.' || chr(10) || coalesce(chr(10) || '| page | days |' || chr(10) || '|-|-|' || chr(10) || (SELECT string_agg('| ' || page || ' | ' || d || ' |', chr(10) ORDER BY d DESC, page) FROM w), '') || chr(10) AS content"
+)
+def stale_page(spark: SparkSession, d: str) -> DataFrame:
+    """O-101, O-191."""
+    return pages.stale_page(queries._stale(spark, d))
+
+
+@query(r"SELECT 'd' || doc_id || '.md' AS path, 'Uses [`Alpha`](../x/alpha.md) and [Beta Gamma](../x/beta.md) in ' || lower(lang) || '.' AS content FROM documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL")
+def linked_pages(spark: SparkSession, d: str) -> DataFrame:
+    """O-156: names, and what they are spelled out as."""
+    p = table(spark, d, "documents").where("doc_id is not null and lang is not null").select(F.concat(F.lit("w/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("Uses `Alpha` and Beta Gamma in "), F.lower("lang"), F.lit(".")).alias("content"))
+    r = spark.createDataFrame([("Alpha", None, "x/alpha.md"), ("BetaGamma", "Beta Gamma", "x/beta.md")], "name string, alias string, path string")
+    return output.link_pages(p, r).select(F.substring("path", 3, 1000).alias("path"), "content")
+
+
 # Cache
 
 
@@ -526,3 +548,13 @@ def extracted_imports(spark: SparkSession, d: str) -> DataFrame:
 def extracted_functions(spark: SparkSession, d: str) -> DataFrame:
     """O-39, O-48, of all Go files: their functions and the methods of their types."""
     return _extracted(spark, d).where("language = 'go' and chunk_type in ('function', 'method')").select("file_path", "name", "parent_name", "start_line")
+
+
+_RUBY_CLASS, _OTHER_CLASS = "'^\\s*(?:class|module)\\s+([\\w:]+)(?:\\s*<\\s*([\\w:]+))?'", "'^\\s*(?:export\\s+(?:default\\s+)?|public\\s+|abstract\\s+|final\\s+)*class\\s+(\\w+)(?:\\s+extends\\s+(\\w+))?'"
+
+
+@query(f"WITH {_LINES}, k AS (SELECT *, CASE language WHEN 'ruby' THEN regexp_extract(t, {_RUBY_CLASS}, ['n', 'p']) ELSE regexp_extract(t, {_OTHER_CLASS}, ['n', 'p']) END AS m FROM l WHERE language IN ('java', 'javascript', 'typescript', 'ruby') AND NOT regexp_matches(t, '^\\s*(//|\\*|#)')) SELECT file_path, m.n AS name, CAST(line AS INT) AS start_line, m.p AS parents FROM k WHERE m.n <> ''")
+def extracted_classes(spark: SparkSession, d: str) -> DataFrame:
+    """O-37, O-38, O-41: classes with what they extend, in four languages."""
+    c = _extracted(spark, d).where("chunk_type = 'class' and language in ('java', 'javascript', 'typescript', 'ruby') and not content rlike '^[^{\\n]*interface '")
+    return c.select("file_path", "name", "start_line", F.array_join("metadata.parent_classes", ",").alias("parents"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths, text
-from codeloom.operators import history, reports
+from codeloom.operators import changes, graphs, history, reports
 
 KEPT_DUNDERS = ("__init__", "__call__", "__enter__", "__exit__")
 
@@ -106,6 +106,22 @@ def dependency_page(dependencies: DataFrame, most: int = 30, most_dev: int = 20)
     return g.select(F.concat("repo", F.lit("/dependencies.md")).alias("path"), F.concat("text", F.lit("\n")).alias("content"))
 
 
+def inheritance_pages(classes: DataFrame) -> DataFrame:
+    """A page per root class with all that inherit from it, as they come in a walk of the tree (O-132, O-197). classes: name, file_path, parents."""
+    t = graphs.tree(classes).withColumn("root", F.get("path", F.lit(0)))
+    g = joined(t, ["root"], ["path"], F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- `"), "name", F.lit("`")), F.concat(F.lit("# Inheritance: "), "root", F.lit("\n\n")))
+    return g.select(F.concat(F.lit("inheritance/"), "root", F.lit(".md")).alias("path"), F.concat("text", F.lit("\n")).alias("content"))
+
+
+def stale_page(stale: DataFrame, most: int = 20) -> DataFrame:
+    """One page: how many pages are behind their sources, and those that are most (O-101, O-191). stale: page, days_stale, stale."""
+    total = changes.freshness(stale).select(F.concat(F.lit("# Freshness\n\n"), F.col("stale").cast("string"), F.lit(" of "), F.col("pages").cast("string"), F.lit(" pages are behind their sources.\n")).alias("head"))
+    worst = stale.where("stale").orderBy(F.desc("days_stale"), "page").limit(most).withColumn("back", -F.col("days_stale")).withColumn("one", F.lit(1))
+    rows = joined(worst, ["one"], ["back", "page"], F.concat(F.lit("| "), F.col("page").cast("string"), F.lit(" | "), F.col("days_stale").cast("string"), F.lit(" |")), F.lit("\n| page | days |\n|-|-|\n"))
+    j = total.withColumn("one", F.lit(1)).join(rows, "one", "left")
+    return j.select(F.lit("freshness.md").alias("path"), F.concat("head", F.coalesce("text", F.lit("")), F.lit("\n")).alias("content"))
+
+
 def assembled(pages: Sequence[DataFrame]) -> DataFrame:
     """All pages in one table; the first of a path wins (O-192)."""
     out = None

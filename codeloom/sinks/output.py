@@ -6,7 +6,7 @@ import html
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from pathlib import Path
 
 import pyarrow as pa
@@ -131,45 +131,96 @@ def to_html(markdown: str) -> str:
     return "\n".join(out)
 
 
-def html_pages(pages: DataFrame) -> DataFrame:
-    """(path, content) of pages as HTML files, titles from their text (O-188)."""
+def _mapped(pages: DataFrame, fn: Callable[[], Callable[[str, str], str]]) -> DataFrame:
+    """(path, content) with the content by a function of both, made once a task, in Arrow batches."""
     ship(pages.sparkSession)
-    body = F.udf(lambda t: to_html(t or ""), "string")
-    head = F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), F.replace(F.replace(text.title(F.col("content"), F.col("path")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</title></head>\n<body>\n"))
-    return pages.select(F.regexp_replace("path", r"\.md$", ".html").alias("path"), F.concat(head, body("content"), F.lit("\n</body></html>\n")).alias("content"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = fn()
+        for b in batches:
+            got = [of(p or "", c or "") for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], names=["path", "content"])
 
-def linked(content: str, names: dict[str, str], own: Iterable[str] = (), page: str = "") -> str:
-    """Mentions of entities turned into links, longest names first; code fences, headings, links and inline code other than a sole name stay (O-156)."""
-    todo = sorted((n for n, p in names.items() if n not in set(own) and p != page), key=lambda n: (-len(n), n))
-    if not todo:
-        return content
-    mention = re.compile(r"`(" + "|".join(map(re.escape, todo)) + r")`|\*\*(" + "|".join(map(re.escape, todo)) + r")\*\*|(?<![\w`./\[])(" + "|".join(map(re.escape, todo)) + r")(?![\w`\]/(])")
-    keep = re.compile(r"(?s)```.*?```|~~~.*?~~~|(?m:^#+[^\n]*$)|!?\[[^\]]*\]\([^)]*\)|`[^`\n]*`")
+    return pages.select("path", "content").mapInArrow(run, "path string, content string")
 
-    def link(m: re.Match) -> str:
-        name = m[1] or m[2] or m[3]
-        shown = f"`{name}`" if m[1] else f"**{name}**" if m[2] else name
-        target = os.path.relpath(names[name], os.path.dirname(page) or ".") if page else names[name]
-        return f"[{shown}]({target})"
 
-    out, at = [], 0
-    for m in keep.finditer(content):
-        out.append(mention.sub(link, content[at : m.start()]))
-        out.append(mention.sub(link, m[0]) if re.fullmatch(r"`[^`]+`", m[0]) and m[0][1:-1] in names else m[0])
-        at = m.end()
-    return "".join(out) + mention.sub(link, content[at:])
+def html_pages(pages: DataFrame) -> DataFrame:
+    """(path, content) of pages as HTML files, titles from their text (O-188)."""
+    clean = F.replace(F.replace(text.title(F.col("content"), F.col("path")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    head = F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), clean, F.lit("</title></head>\n<body>\n"))
+    titled = pages.select(F.to_json(F.struct("path", head.alias("head"))).alias("path"), "content")
+    out = _mapped(titled, lambda: lambda p, c: to_html(c)).withColumn("h", F.from_json("path", "path string, head string"))
+    return out.select(F.regexp_replace("h.path", r"\.md$", ".html").alias("path"), F.concat(F.coalesce("h.head", F.lit("")), "content", F.lit("\n</body></html>\n")).alias("content"))
+
+
+_KEEP = re.compile(r"(?s)```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|(?m:^#+[^\n]*$)|!?\[[^\]]*\]\([^)]*\)")
+_MENTION = re.compile(r"`(?P<code>[^`\n]*)`|\*\*(?P<bold>[^*\n]+)\*\*|(?<![\w`./\[])(?P<bare>[A-Za-z_]\w*)")
+
+
+class Linker:
+    """Turns mentions of entities into links (O-156): by name, or by what the name is spelled out as, the longest first.
+
+    A mention is looked up word by word, so its cost does not grow with the number of names. Fences, headings, links and
+    inline code other than a sole name stay.
+    """
+
+    def __init__(self, names: Mapping[str, str]) -> None:
+        self.names = names
+        self.phrases: dict[str, list[str]] = {}
+        for n in names:
+            if " " in n:
+                self.phrases.setdefault(n.split(" ", 1)[0], []).append(n)
+        for some in self.phrases.values():
+            some.sort(key=lambda n: (-len(n), n))
+
+    def linked(self, content: str, own: Iterable[str] = (), page: str = "") -> str:
+        mine, out, at = set(own), [], 0
+        for m in _KEEP.finditer(content):
+            out += [self._prose(content[at : m.start()], mine, page), m[0]]
+            at = m.end()
+        return "".join(out) + self._prose(content[at:], mine, page)
+
+    def _target(self, name: str, mine: set[str], page: str) -> str | None:
+        to = self.names.get(name)
+        return None if to is None or name in mine or to == page else os.path.relpath(to, os.path.dirname(page) or ".") if page else to
+
+    def _prose(self, s: str, mine: set[str], page: str) -> str:
+        out, pos, at = [], 0, 0
+        while m := _MENTION.search(s, pos):
+            shown, name, pos = m[0], m["code"] or m["bold"] or m["bare"] or "", m.end()
+            if m["bare"]:
+                for some in (*self.phrases.get(name, ()), name):
+                    end = m.start() + len(some)
+                    if s.startswith(some, m.start()) and not re.match(r"[\w`\]/(]", s[end : end + 1]) and self._target(some, mine, page):
+                        shown = name = some
+                        pos = end
+                        break
+                else:
+                    continue
+            if to := self._target(name, mine, page):
+                out += [s[at : m.start()], f"[{shown}]({to})"]
+                at = pos
+        return "".join(out) + s[at:]
+
+
+def linked(content: str, names: Mapping[str, str], own: Iterable[str] = (), page: str = "") -> str:
+    return Linker(names).linked(content, own, page)
 
 
 def link_pages(pages: DataFrame, registry: DataFrame, most: int = 100_000) -> DataFrame:
-    """(path, content) with mentions linked. The registry (name, path) goes to every executor; its size is checked, more is an error."""
-    ship(pages.sparkSession)
-    rows = registry.select("name", "path").limit(most + 1).collect()
+    """(path, content) with mentions linked. The registry (name, path; alias, if there is one) goes to every executor; its size is checked, more is an error."""
+    columns = ["name", "path", "alias" if "alias" in registry.columns else F.lit(None).cast("string").alias("alias")]
+    rows = registry.select(*columns).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a registry of more than {most} names is not broadcast")
-    names = pages.sparkSession.sparkContext.broadcast({r.name: r.path for r in rows})
-    fn = F.udf(lambda p, c: linked(c or "", names.value, (), p or ""), "string")
-    return pages.withColumn("content", fn("path", "content"))
+    known = {r.alias: r.path for r in rows if r.alias} | {r.name: r.path for r in rows}
+    names = pages.sparkSession.sparkContext.broadcast(known)
+
+    def made() -> Callable[[str, str], str]:
+        linker = Linker(names.value)
+        return lambda p, c: linker.linked(c, (), p)
+
+    return _mapped(pages, made)
 
 
 def diagram(edges: Iterable[tuple[str, str]], kind: str = "flowchart TD", arrow: str = "-->", cyclic: Iterable[tuple[str, str]] = ()) -> str:

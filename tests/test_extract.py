@@ -171,6 +171,11 @@ def test_engine(spark, tmp_path):
     assert e.index(str(src)) == {"added": 1, "changed": 1, "unchanged": 0, "removed": 1}
     assert {r.name for r in e.chunks().where("chunk_type = 'function'").collect()} == {"save_user", "new_one"}
     assert e.index(str(src))["unchanged"] == 2 and e.stats().where("kind = 'total'").first().files == 2
+    assert e.glossary().count() == 2 and e.cycles().count() == 0 and e.inheritance().count() == 0 and e.relationships("f.py").count() == 0
+    paths_ = {r.path for r in e.pages().collect()}
+    assert {"files/f.md", "glossary/S.md", "coverage.md", "modules/root.md"} <= paths_ and {r.path for r in e.search_index().collect()} == paths_ and paths_ <= {r.key for r in e.toc().collect()}
+    old = spark.createDataFrame([("files/f.md", datetime(2000, 1, 1))], "path string, generated_at timestamp")
+    assert e.staleness(old).first().stale
     a = e.ask("What saves a user?")
     assert a["sources"] and len(a["trace"]) == 5 and e.coverage().count() == 3
 
@@ -203,9 +208,66 @@ def test_research():
         return "ok"
 
     assert research.retried(flaky, sleep=lambda s: None) == "ok"
+    busy = ["429 Too many", "rate limit"]
+    assert research.retried(lambda: "ok" if not busy else (_ for _ in ()).throw(RuntimeError(busy.pop())), sleep=lambda s: None) == "ok"
+    with pytest.raises(KeyError):
+        research.retried(lambda: {}["x"], sleep=lambda s: pytest.fail("no second try"))
     assert "Q: b" in research.with_history("q", [("x", "1"), ("a", "1"), ("b", "2"), ("c", "3")], "ctx") and "Q: x" not in research.with_history("q", [("x", "1"), ("a", "1"), ("b", "2"), ("c", "3")], "ctx")
 
 
+PARENTS = [
+    ("python", "a.py", "class Child(Parent, Mixin): pass\n", ["Parent", "Mixin"]), ("typescript", "a.ts", "class Child<T extends X> extends Parent<Map<A, B>> implements I1, I2<T> {\n}\n", ["Parent", "I1", "I2"]), ("javascript", "a.js", "class Child extends Parent {\n}\n", ["Parent"]),
+    ("java", "A.java", "public class Child<T> extends Parent<T>\n    implements I1, I2 {\n}\n", ["Parent", "I1", "I2"]), ("swift", "a.swift", "class Child: Parent, Proto {\n}\n", ["Parent", "Proto"]), ("cpp", "a.cpp", "class Child final : public ns::Parent, private Mixin<int> {\n};\n", ["Parent", "Mixin"]), ("ruby", "a.rb", "class Child < Base::Parent\nend\n", ["Base::Parent"]),
+    ("php", "A.php", "<?php\nclass Child extends Parent implements I1 {\n}\n", ["Parent", "I1"]), ("kotlin", "a.kt", "class Child(val a: Int) : Parent(a), I1 {\n}\n", ["Parent", "I1"]), ("csharp", "A.cs", "public class Child<T> : Parent, I1<T> where T : class {\n}\n", ["Parent", "I1"]), ("java", "B.java", "class Alone {\n}\n", []),
+]
+
+
+@pytest.mark.parametrize("lang,path,text,want", PARENTS)
+def test_parents(lang, path, text, want):
+    c = next(c for c in chunks.chunks_of(path, text) if c["chunk_type"] == "class")
+    assert c["language"] == lang and c["metadata"]["parent_classes"] == want
+
+
+class Scripted:
+    name = "scripted"
+
+    def __init__(self, *answers):
+        self.answers, self.asked = list(answers), []
+
+    def generate(self, prompt, system=None):
+        self.asked.append((prompt, system))
+        return self.answers.pop(0) if self.answers else "{}"
+
+
+def test_research_follows_gaps(spark):
+    rows = chunks.chunk_files(spark.createDataFrame([("a.py", "def load_user(name):\n    return name\n"), ("b.py", "def save_order(order):\n    return order\n")], "file_path string, source_text string"))
+    e = research.HashEmbedder(16)
+    table = research.embedded(rows, "content", e)
+    g = Scripted('{"sub_questions": [{"question": "load user"}]}', 'text {"follow_up_queries": ["save order", "", 3, "a", "b", "c"]}', "The answer.")
+    r = research.Research(table, e, g)
+    events = list(research.events_of(r, "How are users kept?"))
+    assert [x.split("\n")[0] for x in events] == ["event: step"] * 6 + ["event: result"]
+    assert [x["step"] for x in r.trace] == ["decompose", "retrieve", "gap_analysis", "follow_up", "rank", "answer"]
+    assert '"follow_ups": ["save order", "a", "b"]' in events[-1] and "The answer." in events[-1]
+    assert "- a.py: " in g.asked[1][0] and "load user" in g.asked[1][0]
+    assert research.Research(table, e, Scripted("{}")).gaps("q", ["q"], r.hits(["q"], 3).limit(0)) == ["q"]
+    assert research.Research(table, e, Scripted("no json")).gaps("q", ["q"], r.hits(["q"], 3)) == []
+    assert list(research.events_of(research.Research(table, e, Scripted(), cancelled=lambda: True), "q"))[-1].startswith("event: error")
+
+
+def test_cache_in_a_table(spark):
+    e = research.HashEmbedder(16)
+    empty = spark.createDataFrame([], "id string, exact_hash string, vector array<float>, system_prompt string, prompt string, response string, temperature double, model_name string, created_at timestamp_ntz, hit_count int, last_hit_at timestamp_ntz, ttl_seconds bigint")
+    time = [datetime(2025, 1, 1)]
+    g = Scripted("one", "two", "three")
+    c = research.CachedGenerator(g, e, empty, 3600, 0.9, now=lambda: time[0])
+    assert c.generate("load the user", "sys") == c.generate("load the user", "sys") == "one" and c.hits == 1
+    assert c.flush().count() == 1 and c.generate("load the user", "sys") == "one" and c.hits == 2
+    assert c.generate("user the load", "sys") == "one" and c.hits == 3  # the same words: similar
+    time[0] = datetime(2025, 1, 2)
+    assert c.generate("load the user", "sys") == "two" and c.generate("other words here", temperature=0.9) == "three"
+
+
 def test_output(spark, tmp_path):
     pages = spark.createDataFrame([("a.md", "# A & B\n\ntext `x` **b**\n\n- one\n- two\n\n| h | i |\n|---|---|\n| 1 | 2 |\n\n```py\na < b\n```\n"), ("d/b.md", None)], "path string, content string")
     done = output.write_pages(output.html_pages(pages), str(tmp_path)).collect()
