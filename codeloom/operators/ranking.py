@@ -6,26 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text
-from codeloom.functions.vectors import squared_distance
-
-MAX_QUERIES = 1000
-
-
-def retrieve(items: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str, vector: str = "embedding") -> DataFrame:
-    """The k nearest items of each query, exactly: query, key, score, rank (O-107, O-108).
-
-    Queries are the questions of one request (MAX_QUERIES at most): they become literals, each row is scored against all
-    of them in one pass, and tasks keep only their best k of each before anything is moved.
-    """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError("too many questions for one request")
-    if not queries:
-        return items.sparkSession.createDataFrame([], f"query int, {key} {dict(items.dtypes)[key]}, score double, rank int")
-    q = F.array(*[F.struct(F.lit(i).alias("query"), F.array(*[F.lit(float(x)) for x in v]).alias("q")) for i, v in queries])
-    d = items.select(key, vector, F.explode(q).alias("x")).select(F.col("x.query").alias("query"), key, squared_distance(F.col(vector), F.col("x.q")).alias("distance")).where("distance is not null")
-    w = Window.partitionBy("query").orderBy("distance", key)
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", key, (1 - F.col("distance")).alias("score"), "rank")
-
+from codeloom.operators.search import retrieve  # noqa: F401  one of these operators
 
 def follow_up_k(k: int) -> int:
     return max(3, k - 2)

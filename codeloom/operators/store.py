@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructType
 
 from codeloom.functions import text
 from codeloom.schemas import CHUNK_TYPES, LANGUAGES, SCHEMA_VERSION, checked
+from codeloom.session import written
 
-BUCKETS = 64
+BUCKET_ROWS, MAX_BUCKETS = 100_000, 100_000
+OWN = ("bucket", "schema_version")
 
 
 def deduplicated(chunks: DataFrame, newest: str | None = None) -> DataFrame:
@@ -21,61 +28,110 @@ def deduplicated(chunks: DataFrame, newest: str | None = None) -> DataFrame:
 
 
 class ChunkStore:
-    """Chunks in Parquet, in directories by a hash of the file path, so that one file is replaced by rewriting one of them."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-
-    def _bucketed(self, chunks: DataFrame) -> DataFrame:
-        b = F.pmod(F.xxhash64("file_path"), F.lit(self.buckets)).cast("int")
-        return chunks.withColumn("file_bucket", b).withColumn("schema_version", F.lit(SCHEMA_VERSION)).repartition("file_bucket").sortWithinPartitions("file_path", "id")
+    """Chunks in Parquet, in directories by a hash of the file path, so that a file is replaced by rewriting one of them.
+
+    Data is never overwritten: every change writes new directories and then, at once, the list of those that count (by
+    bucket). Readers go by the list they found; ``vacuum`` removes what no list names any more. The number of buckets
+    follows the number of chunks when the table is made.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
+        self.spark, self.path, self._wanted = spark, path.rstrip("/"), buckets
+
+    def _fs(self, at: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _list(self) -> dict:
+        """buckets, schema, and by bucket the directories that count: as many entries as there are buckets and changes since the last rewrite of each."""
+        try:
+            return json.loads(self.spark.read.text(f"{self.path}/current", wholetext=True).first()[0])
+        except AnalysisException as x:
+            raise FileNotFoundError(f"no chunks under {self.path}") from x
+
+    def _publish(self, listed: dict) -> None:
+        fs, part = self._fs(f"{self.path}/.current-{uuid.uuid4().hex}")
+        out = fs.create(part, True)
+        out.write(bytearray(json.dumps(listed).encode()))
+        out.close()
+        _, to = self._fs(f"{self.path}/current")
+        fs.delete(to, False)
+        fs.rename(part, to)
+
+    @staticmethod
+    def _bucket(buckets: int):
+        return F.pmod(F.xxhash64("file_path"), F.lit(buckets)).cast("int")
+
+    def _write(self, chunks: DataFrame, buckets: int) -> dict[str, str]:
+        """Bucket -> the directory written for it, rows in the order of paths, so that those of one path share row groups (O-27)."""
+        at = f"data-{uuid.uuid4().hex}"
+        b = chunks.withColumn("bucket", self._bucket(buckets)).withColumn("schema_version", F.lit(SCHEMA_VERSION)).withColumn("file_bucket", F.col("bucket"))
+        b.repartition("file_bucket").sortWithinPartitions("file_bucket", "file_path", "id").write.partitionBy("file_bucket").parquet(f"{self.path}/{at}")
+        fs, p = self._fs(f"{self.path}/{at}")
+        names = [x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()]
+        return {n.split("=")[1]: f"{at}/{n}" for n in names}
 
     def create(self, chunks: DataFrame) -> None:
-        """Replaces the table, also by an empty one (O-20). Rows are sorted by path, so files of one path share row groups (O-27)."""
-        b = self._bucketed(deduplicated(chunks))
-        b.drop("file_bucket").limit(0).write.mode("overwrite").parquet(f"{self.path}.schema")
-        b.write.mode("overwrite").partitionBy("file_bucket").parquet(self.path)
-
-    def _table(self, path: str) -> DataFrame:
-        schema = self.spark.read.parquet(f"{self.path}.schema").schema
-        return self.spark.read.schema(schema.add("file_bucket", IntegerType())).parquet(path)
+        """Replaces the table, also by an empty one (O-20)."""
+        rows = written(deduplicated(chunks), "chunks")
+        buckets = self._wanted or max(1, min(MAX_BUCKETS, -(-rows.count() // BUCKET_ROWS)))
+        made = self._write(rows, buckets)
+        schema = rows.schema.add("bucket", IntegerType()).add("schema_version", IntegerType())
+        self._publish({"buckets": buckets, "schema": schema.jsonValue(), "data": {b: [d] for b, d in made.items()}})
+
+    def _load(self, listed: dict, buckets: Iterable[int] | None = None) -> DataFrame:
+        schema = StructType.fromJson(listed["schema"])
+        some = listed["data"].values() if buckets is None else [listed["data"].get(str(b), []) for b in buckets]
+        at = [f"{self.path}/{d}" for ds in some for d in ds]
+        return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame:
-        return self._table(self.path)
+        return self._load(self._list())
 
     def append(self, chunks: DataFrame) -> None:
         """Adds chunks whose id is not there yet (O-21)."""
-        new = deduplicated(chunks).join(self.read().select("id"), "id", "left_anti")
-        self._bucketed(new).write.mode("append").partitionBy("file_bucket").parquet(self.path)
-
-    def _rewrite(self, keep: DataFrame, touched: DataFrame, add: DataFrame | None) -> None:
-        buckets = [r[0] for r in touched.select(F.pmod(F.xxhash64("file_path"), F.lit(self.buckets)).cast("int")).distinct().collect()]  # at most ``buckets``
-        old = keep.where(F.col("file_bucket").isin(buckets)).drop("file_bucket", "schema_version")
-        rows = old if add is None else old.unionByName(add.select(old.columns))
-        staged = f"{self.path}.staged"
-        self._bucketed(rows).write.mode("overwrite").partitionBy("file_bucket").parquet(staged)
-        empty = set(buckets) - {r[0] for r in self._table(staged).select("file_bucket").distinct().collect()}
-        self._table(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_bucket").parquet(self.path)
-        fs = self.spark._jvm.org.apache.hadoop.fs
-        for b in [f"{self.path}/file_bucket={x}" for x in empty] + [staged]:
-            p = fs.Path(b)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        listed = self._list()
+        new = deduplicated(chunks).join(self._load(listed).select("id"), "id", "left_anti")
+        for b, d in self._write(new.select(*[c for c in StructType.fromJson(listed["schema"]).names if c not in OWN]), listed["buckets"]).items():
+            listed["data"].setdefault(b, []).append(d)
+        self._publish(listed)
+
+    def _rewrite(self, files: DataFrame, add: DataFrame | None) -> None:
+        listed = self._list()
+        touched = [r[0] for r in files.select(self._bucket(listed["buckets"])).distinct().collect()]  # at most as many as there are buckets
+        keep = self._load(listed, touched).join(files, "file_path", "left_anti").drop(*OWN)
+        made = self._write(keep if add is None else keep.unionByName(add.select(keep.columns)), listed["buckets"])
+        for b in map(str, touched):
+            listed["data"].pop(b, None)
+        listed["data"] |= {b: [d] for b, d in made.items()}
+        self._publish(listed)
 
     def delete_files(self, files: DataFrame) -> None:
         """Removes the chunks of the files in ``file_path`` (O-25), rewriting the buckets they lie in."""
-        self._rewrite(self.read().join(files.select("file_path").distinct(), "file_path", "left_anti"), files, None)
+        self._rewrite(files.select("file_path").distinct(), None)
 
     def replace_files(self, chunks: DataFrame) -> None:
         """Puts the chunks of some files in the place of all that these files had."""
-        files = chunks.select("file_path").distinct()
-        self._rewrite(self.read().join(files, "file_path", "left_anti"), files, deduplicated(chunks))
+        self._rewrite(chunks.select("file_path").distinct(), deduplicated(chunks))
 
     def by_id(self, chunk_id: str) -> DataFrame:
         return self.read().where(F.col("id") == F.lit(chunk_id)).limit(1)
 
     def by_file(self, path: str) -> DataFrame:
-        b = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(path)), F.lit(self.buckets)).cast("int")).first()[0]
-        return self.read().where((F.col("file_bucket") == b) & (F.col("file_path") == F.lit(path)))
+        """The chunks of a file: only its bucket is read (O-24)."""
+        listed = self._list()
+        b = self.spark.createDataFrame([(path,)], "file_path string").select(self._bucket(listed["buckets"])).first()[0]
+        return self._load(listed, [b]).where(F.col("file_path") == F.lit(path))
+
+    def vacuum(self) -> None:
+        """Removes the directories that the list does not name; no reader of an older list may be left."""
+        used = {d for ds in self._list()["data"].values() for d in ds}
+        fs, root = self._fs(self.path)
+        for data in [x.getPath() for x in fs.listStatus(root) if x.getPath().getName().startswith("data-")]:
+            mine = [x.getPath() for x in fs.listStatus(data) if x.isDirectory()]
+            gone = [p for p in mine if f"{data.getName()}/{p.getName()}" not in used]
+            for p in [data] if len(gone) == len(mine) else gone:
+                fs.delete(p, True)
 
 
 def filtered(chunks: DataFrame, language: str | None = None, chunk_type: str | None = None) -> DataFrame:
