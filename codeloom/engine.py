@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from codeloom import config as settings
 from codeloom.extract.chunks import chunk_files
 from codeloom.functions.text import embedding_text
 from codeloom.operators import changes, graphs, history, imports, ranking, reports, search, toc
@@ -17,27 +18,31 @@ from codeloom.streaming import events as stream
 
 
 class Engine:
-    """The tables of one index under a path: ``files`` and ``chunks``."""
+    """The tables of one index under a path: ``files`` and ``chunks``. Settings are those in force when it is made (O-203)."""
 
-    def __init__(self, spark: SparkSession, path: str, embedder: research.Embedder | None = None) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        self.embedder = embedder or research.HashEmbedder()
+    def __init__(self, spark: SparkSession, path: str, embedder: research.Embedder | None = None, config: settings.Config | None = None) -> None:
+        self.spark, self.path, self.config = spark, path.rstrip("/"), config or settings.current()
+        self.embedder = embedder or research.provider(self.config.embedding)
         self.store = ChunkStore(spark, f"{self.path}/chunks")
 
     def _chunks(self, files: DataFrame) -> DataFrame:
-        c = chunk_files(files, "path", "source_text")
+        c = chunk_files(files, "path", "source_text", self.config.class_split_lines)
         t = embedding_text(F.col("chunk_type"), F.col("name"), F.col("parent_name"), F.col("language"), F.col("docstring"), F.col("content"))
         return research.embedded(c.withColumn("_text", t), "_text", self.embedder).drop("_text")
 
+    def _scan(self, root: str) -> DataFrame:
+        c = self.config
+        return trees.scan(self.spark, root, c.excluded, c.languages, c.max_file_size)
+
     def index(self, root: str, full: bool = False) -> dict[str, int]:
         """Scans a tree and brings the chunks up to date: hashes are compared first, and only added and changed files are worked on; removed ones go."""
-        keep = written(trees.scan(self.spark, root).drop("source_text"), "files")
+        keep = written(self._scan(root).drop("source_text"), "files")
         try:
             before = None if full else written(self.files(), "before")
         except AnalysisException:  # no index yet
             before = None
         if before is None:
-            self.store.create(self._chunks(trees.scan(self.spark, root)))
+            self.store.create(self._chunks(self._scan(root)))
             status = {"added": keep.count(), "changed": 0, "unchanged": 0, "removed": 0}
         else:
             diff = written(changes.file_changes(keep, before), "diff")
@@ -55,13 +60,13 @@ class Engine:
     def chunks(self) -> DataFrame:
         return self.store.read()
 
-    def search(self, question: str, k: int = 10, language: str | None = None, chunk_type: str | None = None) -> DataFrame:
+    def search(self, question: str, k: int | None = None, language: str | None = None, chunk_type: str | None = None) -> DataFrame:
         """The chunks nearest to a question, as a search shows them (O-22, O-30)."""
-        top = search.top_k(filtered(self.chunks(), language, chunk_type), self.embedder.embed([question])[0], k, "id")
+        top = search.top_k(filtered(self.chunks(), language, chunk_type), self.embedder.embed([question])[0], k or self.config.search_limit, "id")
         return search_view(top).join(top.select("id", "score"), "id").orderBy(F.desc("score"), "id")
 
-    def ask(self, question: str, generator: research.Generator | None = None, preset: str = "default") -> dict:
-        return research.Research(self.chunks(), self.embedder, generator or research.EchoGenerator(), preset).run(question)
+    def ask(self, question: str, generator: research.Generator | None = None, preset: str | None = None) -> dict:
+        return research.Research(self.chunks(), self.embedder, generator or research.provider(self.config.generator), preset or self.config.preset).run(question)
 
     def research(self, question: str, generator: research.Generator, preset: str = "thorough", cancelled=lambda: False):
         """The run of a question as server-sent events."""
@@ -108,10 +113,10 @@ class Engine:
             out.append(pages.changelog_pages(trees.git_logs(self.spark, logs).select(F.col("full_hash").alias("id"), "author", "ts", "file")))
         return pages.assembled(out)
 
-    def staleness(self, generated: DataFrame, days: int = 0) -> DataFrame:
+    def staleness(self, generated: DataFrame, days: int | None = None) -> DataFrame:
         """Pages (path, generated_at) of files against the times of these."""
         mine = self.files().select(pages.page_of(F.col("path")).alias("page"), F.col("last_modified").alias("at"))
-        return changes.staleness(generated.select(F.col("path").alias("page"), "generated_at"), mine, days=days)
+        return changes.staleness(generated.select(F.col("path").alias("page"), "generated_at"), mine, days=self.config.stale_days if days is None else days)
 
     def toc(self) -> DataFrame:
         return toc.numbered(self.pages().select("path"))
@@ -119,9 +124,9 @@ class Engine:
     def search_index(self) -> DataFrame:
         return ranking.page_index(self.pages())
 
-    def watch(self, events: DataFrame, root: str, checkpoint: str, quiet: str = "2 seconds", once: bool = False):
+    def watch(self, events: DataFrame, root: str, checkpoint: str, quiet: str | None = None, once: bool = False):
         """Indexes a tree anew after each burst of events on its files."""
-        bursts = stream.debounced(stream.touched(events), quiet)
+        bursts = stream.debounced(stream.touched(events), quiet or self.config.debounce)
         return stream.refreshing(bursts, lambda batch, k: self.index(root) if batch.limit(1).count() else None, checkpoint, once)
 
     def stats(self) -> DataFrame:

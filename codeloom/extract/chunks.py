@@ -234,7 +234,7 @@ def noise(name: str, language: str) -> bool:
 
 
 _CALL = re.compile(rf"(?<![\w$])(?:new\s+)?({_NAME})!?\s*\(")
-_NOT_CALLS = set("if for while switch catch return function def fn func class new await typeof elif and or not in is sizeof match loop when unless until else do try throw raise yield super".split())
+NOT_CALLS = set("if for while switch catch return function def fn func class new await typeof elif and or not in is sizeof match loop when unless until else do try throw raise yield super".split())
 
 
 def calls_of(path: str, source: str) -> Iterator[tuple[str, str, str, int]]:
@@ -250,8 +250,9 @@ def calls_of(path: str, source: str) -> Iterator[tuple[str, str, str, int]]:
         for c in chunks_of(path, source, 0) if language else ():
             if c["chunk_type"] in ("function", "method"):
                 body = _blank(c["content"], language)
-                body = body[body.find("(") + 1 :]
-                names = dict.fromkeys(n for n in _CALL.findall(body) if n not in _NOT_CALLS and not noise(n, language))
+                named = re.search(rf"(?<![\w$]){re.escape(c['name'])}(?![\w$])[^(\n]*\(", body)
+                body = body[named.end() if named else body.find("(") + 1 :]
+                names = dict.fromkeys(n for n in _CALL.findall(body) if n not in NOT_CALLS and not noise(n, language))
                 rows[f"{c['parent_name']}.{c['name']}" if c["parent_name"] else c["name"]] = list(names)
     for caller, names in rows.items():
         for k, n in enumerate(names):

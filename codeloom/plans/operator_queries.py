@@ -466,6 +466,31 @@ def linked_pages(spark: SparkSession, d: str) -> DataFrame:
     return output.link_pages(p, r).select(F.substring("path", 3, 1000).alias("path"), "content")
 
 
+_NODE = "CASE WHEN regexp_matches({0}, '^\\d') THEN 'C' ELSE '' END || regexp_replace({0}, '[<>\\[\\].\\-: ]', '_', 'g')"
+
+
+@query(
+    f"""{_RELATED}, e AS (SELECT DISTINCT CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE 'root' END AS page, path AS a, other AS b, length(path) % 2 = 0 AS cyclic FROM d)
+    SELECT page AS path, '```mermaid' || chr(10) || 'flowchart TD' || chr(10) || string_agg('    ' || {_NODE.format("a")} || CASE WHEN cyclic THEN ' -.-> ' ELSE ' --> ' END || {_NODE.format("b")}, chr(10) ORDER BY a, b) || chr(10) || '```' || chr(10) AS content FROM e GROUP BY page"""
+)
+def dependency_diagrams(spark: SparkSession, d: str) -> DataFrame:
+    """O-190: what the files of each top directory import; every second edge as if on a cycle."""
+    e = _related(spark, d)[1].where("kind = 'imports'")
+    return pages.diagram_pages(e.select(paths.top_directory(F.col("path")).alias("page"), F.col("path").alias("a"), F.col("other").alias("b"), (F.length("path") % 2 == 0).alias("cyclic")))
+
+
+@query(f"WITH {FILES}, n AS (SELECT language, count(*) AS c FROM files WHERE language IS NOT NULL GROUP BY language) SELECT 'languages.md' AS path, '```mermaid' || chr(10) || 'pie title Files by language' || chr(10) || string_agg('    \"' || language || '\" : ' || c, chr(10) ORDER BY c DESC, language) || chr(10) || '```' || chr(10) AS content FROM n")
+def language_pie(spark: SparkSession, d: str) -> DataFrame:
+    """O-97, O-190."""
+    return pages.language_pie(files(spark, d))
+
+
+@query()
+def call_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """O-116, O-130: of every file."""
+    return pages.call_sequences(extract.call_edges(parsed(spark, d).withColumn("file_path", F.concat("repo", F.lit("/"), "file_path"))))
+
+
 # Cache
 
 
@@ -558,3 +583,21 @@ def extracted_classes(spark: SparkSession, d: str) -> DataFrame:
     """O-37, O-38, O-41: classes with what they extend, in four languages."""
     c = _extracted(spark, d).where("chunk_type = 'class' and language in ('java', 'javascript', 'typescript', 'ruby') and not content rlike '^[^{\\n]*interface '")
     return c.select("file_path", "name", "start_line", F.array_join("metadata.parent_classes", ",").alias("parents"))
+
+
+_NOISE = ", ".join(f"'{x}'" for x in sorted(extract.COMMON_CALLS))
+_NO_CALLS = ", ".join(f"'{x}'" for x in sorted(extract.NOT_CALLS))
+
+
+@query(
+    f"""WITH {_LINES}, b AS (SELECT file_path, line, regexp_replace(t, '"(?:[^"\\\\]|\\\\.)*"|`[^`]*`|''(?:[^''\\\\]|\\\\.)*''|//.*', ' ', 'g') AS t FROM l WHERE language = 'go'),
+    f AS (SELECT file_path, line AS start, regexp_extract(t, '^func\\s*(?:\\(\\s*\\w*\\s*\\*?(\\w+)[^)]*\\)\\s*)?(\\w+)', ['r', 'n']) AS m FROM b WHERE regexp_matches(t, '^func\\s*(?:\\(\\s*\\w*\\s*\\*?\\w+[^)]*\\)\\s*)?\\w+')),
+    o AS (SELECT f.file_path, f.start, CASE WHEN m.r <> '' THEN m.r || '.' || m.n ELSE m.n END AS caller, b.line, CASE WHEN b.line = f.start THEN regexp_replace(b.t, '^func\\s*(?:\\([^)]*\\)\\s*)?\\w+[^(]*\\(', '') ELSE b.t END AS t, sum(length(b.t) - length(replace(b.t, '{{', '')) - length(b.t) + length(replace(b.t, '}}', ''))) OVER (PARTITION BY f.file_path, f.start ORDER BY b.line) AS depth FROM f JOIN b ON b.file_path = f.file_path AND b.line >= f.start),
+    e AS (SELECT file_path, start, min(line) AS stop FROM o WHERE depth <= 0 GROUP BY ALL), k AS (SELECT o.file_path, o.caller, o.start, o.line, unnest(range(0, len(c))) AS i, unnest(c) AS callee FROM (SELECT *, regexp_extract_all(t, '([A-Za-z_$][\\w$]*)!?\\s*\\(', 1) AS c FROM o) o LEFT JOIN e USING (file_path, start) WHERE o.line <= coalesce(e.stop, 1000000000)),
+    once AS (SELECT file_path, caller, start, callee, min(line * 10000 + i) AS p FROM k WHERE callee NOT IN ({_NO_CALLS}) AND lower(callee) NOT IN ({_NOISE}) GROUP BY ALL), last AS (SELECT file_path, caller, max(start) AS start FROM f0 GROUP BY ALL)
+    SELECT file_path, caller, callee, CAST(row_number() OVER (PARTITION BY file_path, caller ORDER BY p) - 1 AS INT) AS pos FROM once JOIN last USING (file_path, caller, start)""".replace("last AS (", "f0 AS (SELECT file_path, start, CASE WHEN m.r <> '' THEN m.r || '.' || m.n ELSE m.n END AS caller FROM f), last AS (", 1)
+)
+def go_calls(spark: SparkSession, d: str) -> DataFrame:
+    """O-49 to O-52, of all Go files."""
+    c = extract.call_edges(parsed(spark, d).withColumn("file_path", F.concat("repo", F.lit("/"), "file_path")))
+    return c.where(paths.language(F.col("file_path")) == "go")

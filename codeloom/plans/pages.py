@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from codeloom.functions import paths, text
 from codeloom.operators import changes, graphs, history, reports
+from codeloom.session import ship
+from codeloom.sinks.output import sequence
 
 KEPT_DUNDERS = ("__init__", "__call__", "__enter__", "__exit__")
 
@@ -122,6 +126,37 @@ def stale_page(stale: DataFrame, most: int = 20) -> DataFrame:
     return j.select(F.lit("freshness.md").alias("path"), F.concat("head", F.coalesce("text", F.lit("")), F.lit("\n")).alias("content"))
 
 
+def diagram_pages(edges: DataFrame, kind: str = "flowchart TD") -> DataFrame:
+    """A mermaid diagram per page of its edges, those on cycles dotted (O-190). edges: page, a, b, cyclic."""
+    arrow = F.when(F.col("cyclic"), " -.-> ").otherwise(" --> ")
+    line = F.concat(F.lit("    "), text.mermaid_name(F.col("a")), arrow, text.mermaid_name(F.col("b")))
+    g = joined(edges.select("page", "a", "b", F.coalesce("cyclic", F.lit(False)).alias("cyclic")).distinct(), ["page"], ["a", "b"], line, F.lit(f"```mermaid\n{kind}\n"))
+    return g.select(F.col("page").alias("path"), F.concat("text", F.lit("\n```\n")).alias("content"))
+
+
+def language_pie(files: DataFrame, title: str = "Files by language") -> DataFrame:
+    """One page: a pie of the files by language (O-97, O-190)."""
+    n = reports.language_counts(files).withColumn("back", -F.col("files")).withColumn("one", F.lit(1))
+    g = joined(n, ["one"], ["back", "language"], F.concat(F.lit('    "'), "language", F.lit('" : '), F.col("files").cast("string")), F.lit(f"```mermaid\npie title {title}\n"))
+    return g.select(F.lit("languages.md").alias("path"), F.concat("text", F.lit("\n```\n")).alias("content"))
+
+
+def call_sequences(calls: DataFrame, depth: int = 5) -> DataFrame:
+    """A sequence diagram per file, from its function with most callees (O-116, O-130). calls: file_path, caller, callee, pos; those of one file are walked in one task."""
+    kind = StructType([StructField("path", StringType()), StructField("content", StringType())])
+
+    def one(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("pos", "caller", "callee"))))
+        edges: dict[str, list[str]] = {}
+        for _, a, b in rows:
+            edges.setdefault(a, []).append(b)
+        start = min(edges, key=lambda a: (-len(set(edges[a])), a))
+        return pa.table({"path": [t.column("file_path")[0].as_py()], "content": [sequence(edges, start, depth)]})
+
+    ship(calls.sparkSession)
+    return calls.select("file_path", "caller", "callee", "pos").groupBy("file_path").applyInArrow(one, kind)
+
+
 def assembled(pages: Sequence[DataFrame]) -> DataFrame:
     """All pages in one table; the first of a path wins (O-192)."""
     out = None
