@@ -18,7 +18,9 @@ from codeloom.llm.lexing import LINE, TABS
 GROUP = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
 BRACKETS = re.compile(r"[^()\[\]{}]+")
 MISMATCH = re.compile(r"[(\[{][)\]}]")
+OPENERS = {"(": ")", "[": "]", "{": "}"}
 WRONG, KEPT = "#", 2000  # longer contents are not kept in memory
+PASSES = 64  # over all letters, before brackets of greater depth are walked one by one
 
 
 class Wrong(Exception):
@@ -58,12 +60,36 @@ class Grammar:
             return WRONG
         try:
             s = letters
-            while (t := GROUP.sub(self._inner, s)) != s:
+            for _ in range(PASSES):
+                if (t := GROUP.sub(self._inner, s)) == s:
+                    break
                 s = t
+            else:
+                s = self._nested(s)
         except Wrong:
             return WRONG
         return WRONG if MISMATCH.search(BRACKETS.sub("", s)) else s
 
+    def _nested(self, letters: str) -> str:
+        """As ``reduced``, in one walk with a stack, for brackets of great depth."""
+        open_: list[tuple[str, list[str]]] = []
+        here: list[str] = []
+        at = 0
+        for m in re.finditer(r"[()\[\]{}]", letters):
+            here.append(letters[at : m.start()])
+            at, b = m.end(), m[0]
+            if b in OPENERS:
+                open_.append((b, here))
+                here = []
+            elif not open_:
+                here.append(b)
+            elif OPENERS[open_[-1][0]] != b:
+                raise Wrong(b)
+            else:
+                content, (o, here) = "".join(here), open_.pop()
+                here.append((self.judge if len(content) < KEPT else self._judge)("PAB"["([{".index(o)], content))
+        return "".join([x for o, before in open_ for x in (*before, o)] + here) + letters[at:]
+
     def joined(self, a: str, b: str) -> str:
         """The reduction of two neighbours from theirs; associative, with '' as its neutral element."""
         return WRONG if WRONG in (a, b) else self.reduced(a + b)
@@ -267,7 +293,6 @@ _LINES = re.compile("[\u0100-\ud7ff\ue000-\uf8ff]+")
 _PRIMARY = r"u?(?:[inqQAUB]|s++)(?:\.i|[QKAZ])*+"
 _TERM = rf"(?:[-~!]|L[^L:]*+:)*+{_PRIMARY}"
 _SIMPLE = rf"{_TERM}(?:(?:[o/@H*-]|!?j|J!?){_TERM})*+"
-_OPERATORS = rf"{_TERM}(?:(?:[o/@H*-]|!?j|J!?){_TERM})*"
 _EXPR = rf"{_SIMPLE}(?:I{_SIMPLE}e{_SIMPLE})*"
 _NAMED = rf"(?:iV)?{_EXPR}"
 _STARRED = rf"(?:\*|iV)?{_EXPR}"
@@ -285,7 +310,7 @@ _DOTTED = r"i(?:\.i)*"
 _VALUE = rf"(?:{_YIELD}|{_LIST})"
 _PATTERN = r"[inqsQKABUO.,*\-oaH]+"
 _CONTENT = {
-    "P": [("Q", rf"|{_LIST}|{_NAMED}{_FORS}|{_YIELD}"), ("K", rf"{_ARGUMENT}(?:,{_ARGUMENT})*,?"), ("D", rf"{_PARAMETER}(?:,{_PARAMETER})*,?"), ("O", rf"{_AS}(?:,{_AS})*,?|{_PATTERN}(?:,i={_PATTERN})*,?|(?:i={_PATTERN},?)+")],
+    "P": [("Q", rf"|{_LIST}|{_NAMED}{_FORS}|{_YIELD}"), ("K", rf"{_ARGUMENT}(?:,{_ARGUMENT})*,?"), ("D", rf"{_PARAMETER}(?:,{_PARAMETER})*,?"), ("O", rf"{_AS}(?:,{_AS})*,?|{_PATTERN}(?:,i={_PATTERN})*,?|(?:i={_PATTERN})+")],
     "A": [("U", rf"|{_NAMED}{_FORS}"), ("A", _LIST), ("Z", rf"{_SLICE}(?:,{_SLICE})*,?"), ("O", _PATTERN)],
     "B": [("B", rf"|{_ITEM}(?:,{_ITEM})*,?|{_LIST}|(?:{_ITEM}|{_NAMED}){_FORS}|{_EXPR}:{_PATTERN}(?:,{_EXPR}:{_PATTERN})*(?:,Hi)?,?")],
 }

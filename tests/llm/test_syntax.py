@@ -228,3 +228,28 @@ def test_ranges_in_all_partitions(spark):
     files = spark.createDataFrame([(k, "r", p, None) for k, p, _ in rows], "file_id bigint, repo string, path string, language string")
     got = {r.file_id: r.valid for r in syntax.files_judged(files, spark.createDataFrame(rows, "file_id bigint, file_path string, source_text string"), 64, 2).collect()}
     assert got == {k: want for k, (_, _, want) in enumerate(texts)}
+
+
+def test_deep_and_long_files():
+    import time
+
+    began = time.time()
+    n = 50_000
+    for lang, head in (("python", "x = "), ("javascript", "const x = "), ("c", "int x = ")):
+        tail = "" if lang == "python" else ";"
+        assert syntax.valid(lang, head + "(" * n + "1" + ")" * n + tail + "\n") and not syntax.valid(lang, head + "(" * n + "1" + ")" * (n - 1) + tail + "\n")
+        assert not syntax.valid(lang, head + "(" * n + "1" + "]" + ")" * (n - 1) + tail + "\n")
+        assert not syntax.valid(lang, head + "([" * n + "\n")
+    assert not syntax.valid("python", "f(" + ", ".join(f"a{k}=1" for k in range(2000)) + ", b c)\n")
+    assert syntax.valid("python", "x = [" + "\n".join(f"    ({k}, 'a', b[{k}:])," for k in range(30_000)) + "]\n")
+    assert time.time() - began < 120
+
+
+def test_walk_gives_what_passes_give(monkeypatch):
+    from codeloom.llm import grammars
+
+    for lang, text in GOOD.items():
+        want = [syntax.valid(lang, text), syntax.valid(lang, text + ")"), syntax.valid(lang, text + "(")]
+        with monkeypatch.context() as m:
+            m.setattr(grammars, "PASSES", 0)
+            assert [syntax.valid(lang, text), syntax.valid(lang, text + ")"), syntax.valid(lang, text + "(")] == want == [True, False, False]
