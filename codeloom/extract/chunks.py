@@ -259,7 +259,8 @@ def calls_of(path: str, source: str) -> Iterator[tuple[str, str, str, int]]:
             yield path, caller, n, k
 
 
-def _table(df: DataFrame, schema: str, rows: Callable[[str, str], Iterable]) -> DataFrame:
+def table_of(df: DataFrame, schema: str, rows: Callable[[str, str], Iterable]) -> DataFrame:
+    """Rows by a function of two columns, in Arrow batches; none where one of them is null or the first is empty."""
     ship(df.sparkSession)
     types = _parse_datatype_string(schema)
 
@@ -278,12 +279,12 @@ def _table(df: DataFrame, schema: str, rows: Callable[[str, str], Iterable]) ->
 
 def chunk_files(files: DataFrame, path: str = "file_path", source: str = "source_text", split: int = SPLIT_LINES) -> DataFrame:
     """The chunk table of files with their text."""
-    return _table(files.select(path, source), f"{CHUNKS}, metadata struct<{_struct(METADATA)}>", lambda p, s: chunks_of(p, s, split))
+    return table_of(files.select(path, source), f"{CHUNKS}, metadata struct<{_struct(METADATA)}>", lambda p, s: chunks_of(p, s, split))
 
 
 def call_edges(files: DataFrame, path: str = "file_path", source: str = "source_text") -> DataFrame:
     """The call graph of files with their text."""
-    return _table(files.select(path, source), CALLS, calls_of)
+    return table_of(files.select(path, source), CALLS, calls_of)
 
 
 def _struct(fields: str) -> str:

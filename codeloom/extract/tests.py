@@ -5,7 +5,10 @@ from __future__ import annotations
 import textwrap
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
+
 from codeloom.extract import python_code as py
+from codeloom.extract.chunks import table_of
 
 
 def bodies(path: str, source: str) -> Iterator[tuple[str, str, str]]:
@@ -34,3 +37,17 @@ def snippet(body: str, entity: str, most: int = 25) -> str | None:
         if asserts >= 2 and depth <= 0:
             break
     return textwrap.dedent("\n".join(out)).strip("\n")
+
+
+def test_bodies(files: DataFrame, path: str = "file_path", source: str = "source_text") -> DataFrame:
+    """(test_file, test_name, code) of the test functions of Python files, in Arrow batches (O-59)."""
+    return table_of(files.select(path, source), "test_file string, test_name string, code string", bodies)
+
+
+def usage_snippets(uses: DataFrame) -> DataFrame:
+    """(name, code) -> (name, snippet) of test bodies that use an entity (O-61); those that do not are left out."""
+    rows = lambda name, code: [(name, s)] if (s := snippet(code, name)) is not None else []
+    return table_of(uses.select("name", "code"), "name string, snippet string", rows)
+
+
+test_bodies.__test__ = False  # no test of ours

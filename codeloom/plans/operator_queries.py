@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.extract import chunks as extract
+from codeloom.extract import tests
 from codeloom.functions import paths, text
 from codeloom.operators import cache, changes, context, history, imports, ranking, reports, store, toc
 from codeloom.plans import pages, queries
@@ -601,3 +602,32 @@ def go_calls(spark: SparkSession, d: str) -> DataFrame:
     """O-49 to O-52, of all Go files."""
     c = extract.call_edges(parsed(spark, d).withColumn("file_path", F.concat("repo", F.lit("/"), "file_path")))
     return c.where(paths.language(F.col("file_path")) == "go")
+
+
+_TESTED = f"{CHUNKS}, n AS (SELECT DISTINCT repo || '/' || file_path AS file, name FROM chunks WHERE chunk_type = 'function' AND regexp_matches(name, '^[a-z_]\\w*$') AND language = 'python')"
+
+
+def _tests(spark: SparkSession, d: str) -> DataFrame:
+    """A test file for each file with Python functions, with a test of each."""
+    n = chunks(spark, d).where("chunk_type = 'function' and language = 'python'").where(F.col("name").rlike(r"^[a-z_]\w*$")).select(F.concat_ws("/", "repo", "file_path").alias("file"), "name").distinct()
+    body = F.concat(F.lit("def test_"), "name", F.lit("():\n    '''Of it.'''\n    r = "), "name", F.lit("(1)\n    assert r\n\n\n"))
+    return n.groupBy("file").agg(F.array_join(F.sort_array(F.collect_list(body)), "").alias("source"))  # of one file
+
+
+@query(f"WITH {_TESTED} SELECT file AS test_file, 'test_' || name AS test_name, 'r = ' || name || '(1)' || chr(10) || 'assert r' AS code FROM n")
+def test_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """O-59."""
+    return tests.test_bodies(_tests(spark, d), "file", "source")
+
+
+@query(f"WITH {_TESTED} SELECT DISTINCT name, 'r = ' || name || '(1)' || chr(10) || 'assert r' AS snippet FROM n")
+def usage_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """O-61."""
+    t = tests.test_bodies(_tests(spark, d), "file", "source")
+    return tests.usage_snippets(t.select(F.substring("test_name", 6, 1000).alias("name"), "code").distinct()).distinct()
+
+
+@query("SELECT o_orderkey, round(CASE WHEN o_custkey > 0 THEN o_totalprice / o_custkey * 60 END, 4) AS per_minute FROM orders")
+def phase_rates(spark: SparkSession, d: str) -> DataFrame:
+    """O-104."""
+    return table(spark, d, "orders").select("o_orderkey", F.round(stream.phase_rate(F.col("o_totalprice"), F.col("o_custkey")), 4).alias("per_minute"))
